@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, chat, lines
+from rasterloom.llm import bpe, chat, lines, pii, quality, topk
 from rasterloom.llm.common import prepare
 
 
@@ -49,6 +49,27 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", n.alias("n_lines"), "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: Stands for the secret that an operator of this query would pass.
+DEMO_KEY = b"rasterloom demonstration key"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = pii.pseudonymize(docs, DEMO_KEY)
+    return made.select("doc_id", F.size("spans").cast("long").alias("n_found"), F.transform("spans", lambda s: s["kind"]).alias("kinds"), "text")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality.fit(docs, table(spark, sf_dir, "labels"))
+    made = quality.score(docs, forest)
+    return made.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,14 +129,31 @@ from kept group by doc_id
 """
 
 
+OP8_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+), r as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+)
+select * from r where rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_token_counts": op2_token_counts,
         "op3_line_dedup": op3_line_dedup,
+        "op4_pii": op4_pii,
+        "op7_quality": op7_quality,
+        "op8_top_k": op8_top_k,
         "op9_bpe": op9_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _op1_sql(), "op3_line_dedup": OP3_SQL}
+    return {"op1_chat_formatting": _op1_sql(), "op3_line_dedup": OP3_SQL, "op8_top_k": OP8_SQL}
