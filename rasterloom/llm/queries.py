@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, chat, lines, pii, quality, topk
+from rasterloom.llm import bpe, chat, decontam, lines, pii, quality, topk
 from rasterloom.llm.common import prepare
 
 
@@ -59,6 +59,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("spans").cast("long").alias("n_found"), F.transform("spans", lambda s: s["kind"]).alias("kinds"), "text")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = decontam.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return made.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -149,6 +155,7 @@ def queries() -> dict:
         "op2_token_counts": op2_token_counts,
         "op3_line_dedup": op3_line_dedup,
         "op4_pii": op4_pii,
+        "op5_decontamination": op5_decontamination,
         "op7_quality": op7_quality,
         "op8_top_k": op8_top_k,
         "op9_bpe": op9_bpe,
