@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, chat, decontam, lines, pii, quality, topk
+from rasterloom.llm import bpe, chat, decontam, jaccard, lines, pii, quality, topk
 from rasterloom.llm.common import prepare
 
 
@@ -65,6 +65,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -135,6 +139,31 @@ from kept group by doc_id
 """
 
 
+OP6_SQL = """
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from words
+), classes as (
+  select min(doc_id) as rep, list_sort(s) as s from sets where len(s) > 0 group by list_sort(s)
+), items as (
+  select rep, len(s) as n, unnest(s) as item from classes
+), pairs as (
+  select a.rep as x, b.rep as y from items a join items b on a.item = b.item and a.rep < b.rep
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), both_ways as (
+  select x, y from pairs union select y, x from pairs
+), recursive_reach as (
+  with recursive reach(x, y) as (select rep, rep from classes union select r.x, p.y from reach r join both_ways p on r.y = p.x)
+  select x, min(y) as low from reach group by x
+)
+select d.doc_id, len(d.s)::bigint as n_shingles, coalesce(r.low, d.doc_id)::bigint as component_id
+from sets d left join classes c on len(d.s) > 0 and list_sort(d.s) = c.s left join recursive_reach r on r.x = c.rep
+"""
+
+
 OP8_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
@@ -156,6 +185,7 @@ def queries() -> dict:
         "op3_line_dedup": op3_line_dedup,
         "op4_pii": op4_pii,
         "op5_decontamination": op5_decontamination,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_quality": op7_quality,
         "op8_top_k": op8_top_k,
         "op9_bpe": op9_bpe,
@@ -163,4 +193,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _op1_sql(), "op3_line_dedup": OP3_SQL, "op8_top_k": OP8_SQL}
+    return {"op1_chat_formatting": _op1_sql(), "op3_line_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op8_top_k": OP8_SQL}
