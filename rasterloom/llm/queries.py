@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, chat, decontam, jaccard, lines, pii, quality, topk
+from rasterloom.llm import bpe, chat, decontam, jaccard, lines, pii, quality, suffix, topk
 from rasterloom.llm.common import prepare
 
 
@@ -49,6 +49,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", n.alias("n_lines"), "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = suffix.remove_repeats(docs)
+    return made.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Stands for the secret that an operator of this query would pass.
 DEMO_KEY = b"rasterloom demonstration key"
 
@@ -189,6 +195,7 @@ def queries() -> dict:
         "op7_quality": op7_quality,
         "op8_top_k": op8_top_k,
         "op9_bpe": op9_bpe,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
