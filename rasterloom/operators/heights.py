@@ -14,9 +14,12 @@ KEY = "session_id"
 
 
 def histogram(df: DataFrame, y: str, width: int, weight: Column | None = None, key: str = KEY) -> DataFrame:
-    """(key, bin, n) from each scan's least height on, empty bins and two more included."""
+    """(key, y0, bin, n): bins from one under each scan's least height to one over its highest.
+
+    Empty bins are included, so that a flat lowest or highest plane can be a peak.
+    """
     seen = df.filter(F.col(y).isNotNull())
-    edge = seen.groupBy(key).agg(F.min(y).alias("y0"), F.max(y).alias("y1"))
+    edge = seen.groupBy(key).agg((F.min(y) - width).alias("y0"), F.max(y).alias("y1"))
     counts = seen.join(edge, key).groupBy(key, F.floor((F.col(y) - F.col("y0")) / width).cast("long").alias("bin"))
     counts = counts.agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
     last = F.floor((F.col("y1") - F.col("y0")) / width).cast("long") + 1

@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 HIST = (
     PIXELS
-    + """, edge as (select session_id, min(y_mm) as y0, max(y_mm) as y1 from px group by session_id), hist as (
+    + """, edge as (select session_id, min(y_mm) - 5 as y0, max(y_mm) as y1 from px group by session_id), hist as (
   select b.session_id, b.y0, b.bin, coalesce(c.n, 0)::bigint as n from
     (select session_id, y0, unnest(range(0, (y1 - y0) // 5 + 2))::bigint as bin from edge where y0 is not null) b
     left join (select session_id, ((y_mm - y0) // 5)::bigint as bin, count(*) as n from px join edge using (session_id) where y_mm is not null group by all) c using (session_id, bin)
