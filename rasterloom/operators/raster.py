@@ -238,3 +238,23 @@ def fill_polygons(polygons: DataFrame, poly: str = "poly") -> DataFrame:
 def last_wins(pixels: DataFrame, order: str, keys: tuple[str, ...] = ("u", "v")) -> DataFrame:
     """(keys, order): the highest order at each pixel."""
     return pixels.groupBy(*keys).agg(F.max(order).alias(order))
+
+
+def region_pairs(regions: DataFrame, least: int = 8, key: str = KEY) -> DataFrame:
+    """(key, a, b, u0, v0, u1, v1): regions of different clusters whose boxes share ``least`` pixels each way.
+
+    ``regions``: (key, id, cluster, y, u0, v0, u1, v1), ends exclusive; the lower region is ``a``.
+    """
+    box = ["id", "cluster", "y", "u0", "v0", "u1", "v1"]
+    a, b = (regions.select(key, *(F.col(c).alias(f"{n}_{c}") for c in box)) for n in "ab")
+    both = a.join(b, key).filter("a_cluster <> b_cluster and (a_y < b_y or (a_y = b_y and a_id < b_id))")
+    low, high = ([f(f"a_{c}", f"b_{c}") for c in pair] for f, pair in ((F.greatest, ("u0", "v0")), (F.least, ("u1", "v1"))))
+    both = both.select(key, F.col("a_id").alias("a"), F.col("b_id").alias("b"), low[0].alias("u0"), low[1].alias("v0"), high[0].alias("u1"), high[1].alias("v1"))
+    return both.filter((F.col("u1") - F.col("u0") >= least) & (F.col("v1") - F.col("v0") >= least))
+
+
+def fractions(pairs: DataFrame) -> DataFrame:
+    """Shares of a common box covered by only a, only b, and either (``pairs`` as for patterns)."""
+    share = lambda c: F.round(F.avg(F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))), 6)
+    only = {"only_a": F.col("in_a") & ~F.col("in_b"), "only_b": F.col("in_b") & ~F.col("in_a"), "either": F.col("in_a") | F.col("in_b")}
+    return pairs.groupBy("a", "b").agg(*(share(c).alias(n) for n, c in only.items()))

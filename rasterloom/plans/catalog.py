@@ -426,6 +426,26 @@ def overlay_last_wins(spark, sf_dir):
     return raster.last_wins(raster.fill_polygons(_boxes(spark, sf_dir)), "k")
 
 
+@query(
+    """with r as (select (p_partkey % 20)::bigint as session_id, p_partkey as id, p_partkey % 3 as cluster, p_size as y, (p_partkey % 90)::int as u0, ((p_partkey * 7) % 80)::int as v0,
+  (p_partkey % 90 + p_size % 9 + 10)::int as u1, ((p_partkey * 7) % 80 + p_size % 9 + 10)::int as v1 from part)
+select * from (select a.session_id, a.id as a, b.id as b, greatest(a.u0, b.u0) as u0, greatest(a.v0, b.v0) as v0, least(a.u1, b.u1) as u1, least(a.v1, b.v1) as v1
+  from r a join r b on a.session_id = b.session_id and a.cluster <> b.cluster and (a.y < b.y or (a.y = b.y and a.id < b.id))) where u1 - u0 >= 8 and v1 - v0 >= 8"""
+)
+def region_pairs(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "cast(p_partkey % 20 as bigint) session_id", "p_partkey id", "p_partkey % 3 cluster", "p_size y", "cast(p_partkey % 90 as int) u0", "cast((p_partkey * 7) % 80 as int) v0",
+        "cast(p_partkey % 90 + p_size % 9 + 10 as int) u1", "cast((p_partkey * 7) % 80 + p_size % 9 + 10 as int) v1",
+    )
+    return raster.region_pairs(rows)
+
+
+@query(f"with {PIXELS}, p as (select session_id as a, session_id + 1 as b, plane = 0 as x, u % 3 = 0 as y from px) select a, b, round(avg((x and not y)::int), 6) as only_a, round(avg((y and not x)::int), 6) as only_b, round(avg((x or y)::int), 6) as either from p group by a, b")
+def fill_fractions(spark, sf_dir):
+    rows = pixels(spark, sf_dir).selectExpr("session_id a", "session_id + 1 b", "plane = 0 in_a", "u % 3 = 0 in_b")
+    return raster.fractions(rows)
+
+
 @query("select row_number() over (order by mean desc, name)::int as rank, name, mean from (select p_brand as name, round(avg(p_retailprice), 4) as mean from part group by p_brand) order by mean desc, name limit 10")
 def leaderboard(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_brand").alias("name")).agg(F.round(F.avg("p_retailprice"), 4).alias("mean"))
@@ -550,3 +570,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["planes"] = flagship
+SQL["planes"] = f"with {ASSIGN}, st as (select session_id, label, {STATS} from assigned where label is not null group by all) select s.*, s.mean_y - m.mean_y as relative_y from st s left join st m on m.session_id = s.session_id and m.label = 0"
