@@ -50,7 +50,7 @@ def split_pattern(letter: str, number: str, space: str) -> str:
 NARROW = split_pattern(r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0")
 ANY = split_pattern(rf"[\p{{L}}--[{NEW_LETTERS}]]", rf"[\p{{N}}--[{NEW_NUMBERS}]]", r"\p{White_Space}")
 #: Pre-tokens a worker remembers, and the longest it remembers.
-MEMO, MEMO_LEN = 400_000, 48
+MEMO, MEMO_LEN = 1_000_000, 48
 _NONE = np.iinfo(np.int64).max
 
 
@@ -137,54 +137,114 @@ def count_merges(symbols: list[int], pairs: dict) -> int:
     return merges
 
 
-def merge_ids(symbols: list[int], pairs: dict) -> list[int]:
-    """Ids after all merges: a segment tree whose root is the leftmost lowest rank."""
-    n = len(symbols)
-    if n < 2:
-        return symbols
-    width = 1 << (n - 2).bit_length()
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    made = [0] * n
-    tree = [_NONE] * (2 * width)
-    get = pairs.get
-
-    def leaf(i: int, j: int) -> int:
-        hit = get((symbols[i], symbols[j]))
-        if hit is None:
-            return _NONE
-        made[i] = hit[1]
-        return hit[0] * n + i  # lower rank first, then further left
-
-    def put(i: int, value: int) -> None:
-        i += width
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
+class PairTable:
+    """Rank and result of a pair of ids for whole arrays: a hash table with probing."""
+
+    def __init__(self, pairs: dict):
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.ranks, self.made = np.full(1 << bits, _NONE), np.zeros(1 << bits, np.int64)
+        key = np.array([(a << 32) | b for a, b in pairs], np.int64)
+        value = np.array(list(pairs.values()), np.int64).reshape(-1, 2)
+        todo, at = np.arange(len(key)), self._place(key)
+        while len(todo):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = key[todo[free]]
+            won = self.keys[at] == key[todo]
+            self.ranks[at[won]], self.made[at[won]] = value[todo[won]].T
+            todo, at = todo[~won], (at[~won] + 1) & self.mask
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank or ``_NONE``, resulting id); a negative id matches nothing."""
+        key = (left << 32) | right
+        at = self._place(key)
+        while True:
+            there = self.keys[at]
+            more = (there != key) & (there != -1)
+            if not more.any():
                 break
-            tree[i] = low
+            at = np.where(more, (at + 1) & self.mask, at)
+        hit = (there == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.ranks[at], _NONE), self.made[at]
 
-    for i in range(n - 1):
-        tree[width + i] = leaf(i, i + 1)
-    for i in range(width - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
-    while tree[1] != _NONE:
-        i = tree[1] % n
-        j = after[i]
-        symbols[i], symbols[j] = made[i], -1
-        after[i] = k = after[j]
-        if j < n - 1:
-            put(j, _NONE)
-        if k < n:
-            before[k] = i
-            put(i, leaf(i, k))
-        else:
-            put(i, _NONE)
-        if before[i] >= 0:
-            put(before[i], leaf(before[i], i))
-    return [s for s in symbols if s >= 0]
+
+def merge_rows(symbols: np.ndarray, sizes: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """Ids after all merges of many sequences at once, -1 where a symbol is gone.
+
+    Each row has its own segment tree over the ranks of adjacent pairs.  A leaf is
+    ``rank * width + place``, so a root is the row's leftmost pair of lowest rank; a
+    merge renews three leaves and their ancestors.  Rows drop out when their root is
+    empty.
+    """
+    rows, n = symbols.shape
+    width = 1 << max(1, n - 1).bit_length()
+    place = np.arange(n)
+    symbols = np.where(place < sizes[:, None], symbols, -1)
+    after = np.broadcast_to(place + 1, (rows, n)).copy()
+    before = np.broadcast_to(place - 1, (rows, n)).copy()
+    made = np.zeros((rows, width), np.int64)
+    tree = np.full((rows, 2 * width), _NONE)
+
+    def leaves(left, right, at):
+        rank, new = pairs.find(left, right)
+        return np.where(rank == _NONE, _NONE, rank * width + at), new
+
+    tree[:, width : width + n - 1], made[:, : n - 1] = leaves(symbols[:, :-1], symbols[:, 1:], place[:-1])
+    level = width
+    while level > 1:
+        tree[:, level // 2 : level] = tree[:, level : 2 * level].reshape(rows, -1, 2).min(axis=2)
+        level //= 2
+    live = np.flatnonzero(tree[:, 1] != _NONE)
+    while len(live):
+        i = tree[live, 1] % width
+        j = after[live, i]
+        k = after[live, j]
+        h = before[live, i]
+        new = made[live, i]
+        symbols[live, i], symbols[live, j] = new, -1
+        after[live, i] = k
+        last, first = k >= n, h < 0
+        before[live[~last], k[~last]] = i[~last]
+        right = np.where(last, -1, symbols[live, np.minimum(k, n - 1)])
+        left = np.where(first, -1, symbols[live, np.maximum(h, 0)])
+        here, made[live, i] = leaves(new, right, i)
+        h0 = np.maximum(h, 0)
+        there, by = leaves(left, new, h0)
+        made[live[~first], h0[~first]] = by[~first]
+        tree[live, width + j] = _NONE
+        tree[live, width + i] = here
+        tree[live[~first], width + h0[~first]] = there[~first]
+        node, row = width + np.stack([i, j, h0]), np.broadcast_to(live, (3, len(live)))
+        while node[0, 0] > 1:
+            node = node >> 1
+            tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+        live = live[tree[live, 1] != _NONE]
+    return symbols
+
+
+def merge_ids(words: list[bytes], first: np.ndarray, pairs: PairTable) -> list[bytes]:
+    """Ids (packed int32) after all merges of each word; words of like length go together."""
+    out = [b""] * len(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    wide = np.maximum(8, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    for width in np.unique(wide):
+        mine = np.flatnonzero(wide == width)
+        step = max(1, 32_000 // int(width))
+        for start in range(0, len(mine), step):
+            some = mine[start : start + step]
+            grid = np.full((len(some), int(sizes[some].max(initial=1)) + 1), -1, np.int64)
+            inside = np.arange(grid.shape[1]) < sizes[some][:, None]
+            grid[inside] = first[np.frombuffer(b"".join(words[s] for s in some), np.uint8)]
+            grid = merge_rows(grid, sizes[some], pairs)
+            kept = grid >= 0
+            flat, ends = grid[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+            for s, a, b in zip(some.tolist(), [0, *ends], ends, strict=False):
+                out[s] = flat[a:b]
+    return out
 
 
 class Memo(dict):
@@ -203,10 +263,34 @@ class Memo(dict):
         return value
 
 
+class Encoder(dict):
+    """Ids (packed int32) by pre-token; merges the new pre-tokens of a batch together."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary, self.table = vocabulary, PairTable(vocabulary.pairs)
+        self.first = np.array(vocabulary.first, np.int64)
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [self.vocabulary.words(t) if t else [] for t in texts]
+        new = set(chain.from_iterable(split)).difference(self)
+        if len(self) + len(new) > MEMO:
+            self.clear()
+            new = set(chain.from_iterable(split))
+        plain = [w for w in new if type(w) is str]
+        self.update((w, np.array(w, np.int32).tobytes()) for w in new if type(w) is tuple)
+        self.update(zip(plain, merge_ids([w.encode() for w in plain], self.first, self.table), strict=True))
+        out = [np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32) for words in split]
+        for word in plain:
+            if len(word) > MEMO_LEN:
+                del self[word]
+        return out
+
+
 _loaded: dict[tuple[str, int], object] = {}
 
 
-def _tables(raw: bytes) -> tuple[Vocabulary, Memo, Memo]:
+def _tables(raw: bytes) -> tuple[Vocabulary, Memo, Encoder]:
     key = ("bpe", hash(raw))
     if key not in _loaded:
         v = Vocabulary(raw)
@@ -221,10 +305,7 @@ def _tables(raw: bytes) -> tuple[Vocabulary, Memo, Memo]:
             n = len(s)
             return n - count_merges(s, v.pairs)
 
-        def encode(word):
-            return word if type(word) is tuple else tuple(merge_ids(symbols(word), v.pairs))
-
-        _loaded[key] = (v, Memo(count), Memo(encode))
+        _loaded[key] = (v, Memo(count), Encoder(v))
     return _loaded[key]
 
 
@@ -251,13 +332,9 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids")
     raw = df.sparkSession.sparkContext.broadcast(_raw(tokenizer))
 
     def ids(texts: pa.Array) -> pa.Array:
-        vocabulary, _, known = _tables(raw.value)
-        get, flat, ends = known.__getitem__, [], [0]
-        for t in texts.to_pylist():
-            got = np.fromiter(chain.from_iterable(map(get, vocabulary.words(t or ""))), np.int32)
-            flat.append(got)
-            ends.append(ends[-1] + len(got))
-        values = np.concatenate(flat) if flat else np.empty(0, np.int32)
+        flat = _tables(raw.value)[2].batch(texts.to_pylist())
+        ends = np.cumsum([0, *map(len, flat)])
+        values = np.concatenate([*flat, np.empty(0, np.int32)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
     ids.__annotations__ = {"texts": pa.Array, "return": pa.Array}
