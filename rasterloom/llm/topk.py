@@ -97,7 +97,7 @@ def _ranges(rows: DataFrame, block) -> DataFrame:
     return made.groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
 
-def _histogram(rows: DataFrame, block, low: np.ndarray, width: np.ndarray) -> DataFrame:
+def _histogram(rows: DataFrame, block, low: np.ndarray, high: np.ndarray, width: np.ndarray) -> DataFrame:
     """(q, bin, n) of the scores inside each query's open range."""
 
     def scan(batches):
@@ -106,7 +106,7 @@ def _histogram(rows: DataFrame, block, low: np.ndarray, width: np.ndarray) -> Da
         base = np.arange(len(b.ids))[:, None] * BINS
         for _, s, own in b.scores(batches):
             at = (s - low[:, None]) // width[:, None]
-            inside = (at >= 0) & (at < BINS) & ~own
+            inside = (s >= low[:, None]) & (s <= high[:, None]) & ~own
             counts += np.bincount((base + at)[inside], minlength=counts.size).reshape(counts.shape)
         q, bins = np.nonzero(counts)
         if len(q):
@@ -148,7 +148,7 @@ def _select(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, scale: int, k
             break
         above = Window.partitionBy("q").orderBy(F.desc("bin"))
         needs = F.broadcast(rows.sparkSession.createDataFrame([(int(q), int(need[q])) for q in np.flatnonzero(open_)], "q long, need long"))
-        sums = _histogram(rows, block, low, width).join(needs, "q").withColumn("upto", F.sum("n").over(above))
+        sums = _histogram(rows, block, low, high, width).join(needs, "q").withColumn("upto", F.sum("n").over(above))
         for r in sums.filter("upto >= need and upto - n < need").select("q", "bin", F.expr("need - (upto - n)").alias("left")).collect():
             low[r.q] += r.bin * width[r.q]
             high[r.q], need[r.q] = min(high[r.q], low[r.q] + width[r.q] - 1), r.left
