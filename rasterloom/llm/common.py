@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from pathlib import Path
@@ -34,10 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` into the shared folder and read it back."""
+    """Cut the lineage: write ``df`` into the shared folder and read it back.
+
+    What only ``df`` needed is garbage then; a collection lets Spark delete its
+    shuffle files at once instead of at the end of the job.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

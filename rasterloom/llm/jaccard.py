@@ -18,7 +18,7 @@ shingles.  The steps, all over whole texts and without any cap:
    points; what survives is verified on the sets.  Boxes whose members are all in
    the query's component already are passed over, so a group of thousands of near
    copies costs about one verification a member.
-4. *Rounds.*  Blocks that still hold several components, not all compared with each
+5. *Rounds.*  Blocks that still hold several components, not all compared with each
    other, go again.  Blocks of more than ``BLOCK`` sets are dealt over several tasks:
    first members of each component meet, and then whatever is not in the block's
    largest component meets the whole block, in a grid of tasks of bounded size.
@@ -63,6 +63,20 @@ def prefix_length(size: int, hot: int) -> int:
     return min(sure, math.ceil(MISS / math.log(4 * rare / size)))
 
 
+def group_counts(items: np.ndarray) -> np.ndarray:
+    """A set's point: how many of its shingles each group has."""
+    return np.bincount((items >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+
+
+def pack(counts: np.ndarray) -> bytes:
+    most = counts.max(initial=0)
+    return counts.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // GROUPS}").astype(np.int32)
+
+
 class _Counter:
     """Counts of shingles in bounded memory."""
 
@@ -94,28 +108,29 @@ class _Counter:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc, size, sid) of every text, and (token, n) of each task's frequent shingles."""
+    """(doc, size, sid, counts) of every text, and (token, n) of each task's frequent shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, seen = _Counter(), set()
-        names = ["doc", "size", "sid", "token", "n"]
+        names = ["doc", "size", "sid", "counts", "token", "n"]
         for batch in batches:
-            sizes, sids = [], []
+            sizes, sids, counts = [], [], []
             for items in shingles.sets(batch.column("text")):
                 sid = shingles.set_id(items)
+                counts.append(pack(group_counts(items)))
                 sizes.append(len(items))
                 sids.append(sid)
                 if sid not in seen:
                     seen.add(sid)
                     counter.add(items)
             none = pa.nulls(len(sids), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(counts, pa.binary()), none, none], names)
         counter.fold()
         many = counter.counts >= max(8, HOT * len(seen))
         tokens, none = pa.array(counter.keys[many].view(np.int64)), pa.nulls(int(many.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, tokens, pa.array(counter.counts[many])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), tokens, pa.array(counter.counts[many])], names)
 
-    return docs.mapInArrow(scan, "doc long, size long, sid long, token long, n long")
+    return docs.mapInArrow(scan, "doc long, size long, sid long, counts binary, token long, n long")
 
 
 def _prefixes(docs: DataFrame, hot) -> DataFrame:
@@ -145,28 +160,29 @@ def _prefixes(docs: DataFrame, hot) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(sid, size, items): the set of each text whose id is the one wanted for it."""
+    """(sid, token, cell, seen, items): the set of each text whose id is the one wanted for it."""
+
+    names = ["sid", "token", "cell", "seen"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, sizes, items = [], [], []
-            for sid, found in zip(batch.column("sid").to_pylist(), shingles.sets(batch.column("text")), strict=True):
+            places, items = [], []
+            for k, (sid, found) in enumerate(zip(batch.column("sid").to_pylist(), shingles.sets(batch.column("text")), strict=True)):
                 if shingles.set_id(found) == sid:
-                    sids.append(sid)
-                    sizes.append(len(found))
+                    places.append(k)
                     items.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(items, pa.binary())], ["sid", "size", "items"])
+            kept = [batch.column(c).take(pa.array(places, pa.int64())) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(items, pa.binary())], [*names, "items"])
 
-    return docs.mapInArrow(scan, "sid long, size int, items binary")
+    return docs.mapInArrow(scan, "sid long, token long, cell long, seen long, items binary")
 
 
 class CountTree:
     """R-tree over count vectors of sets that come sorted by size."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        points = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets])
-        self.levels, self.least = [points.astype(np.int32)], [self.sizes]
+    def __init__(self, points: np.ndarray):
+        self.sizes = points.sum(axis=1)
+        self.levels, self.least = [points], [self.sizes]
         while len(self.levels[-1]) > FAN:
             starts = np.arange(0, len(self.levels[-1]), FAN)
             self.levels.append(np.maximum.reduceat(self.levels[-1], starts))
@@ -202,19 +218,58 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def link_block(sids: np.ndarray, sets: list[np.ndarray], comps: np.ndarray, seen: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the components of one block; ``seen`` pairs are compared already."""
+    """Stars (member, smallest) of the block's components that gained a link.
+
+    ``seen`` pairs are compared already.
+    """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sids, comps, seen, sets = sids[order], comps[order].copy(), seen[order], [sets[i] for i in order]
-    tree, links = CountTree(sets), []
+    tree, gained = CountTree(np.stack([group_counts(x) for x in sets]).astype(np.int32)), np.zeros(len(sets), bool)
     for i in range(1, len(sets)):
         other = (comps != comps[i]) & ((seen != seen[i]) | (seen == 0))
         if not other[:i].any():
             continue
         for j in tree.search(i, other):
             if comps[j] != comps[i] and linked(sets[i], sets[j]):
-                links.append((int(sids[i]), int(sids[j])))
                 comps[comps == comps[j]] = comps[i]
-    return links
+                gained |= comps == comps[i]
+    out = []
+    for comp in np.unique(comps[gained]):
+        members = sids[comps == comp]
+        out += [(int(x), int(members.min())) for x in members if x != members.min()]
+    return out
+
+
+def _near(rows: DataFrame) -> DataFrame:
+    """(token, sid) of the sets that the bound lets link with another of their block."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+
+        def solve() -> pa.RecordBatch:
+            kept = []
+            if len(held) > 1:
+                sids, points = np.array(list(held)), np.stack([unpack(x) for x in held.values()])
+                order = np.argsort(points.sum(axis=1), kind="stable")
+                tree, near = CountTree(points[order]), np.zeros(len(sids), bool)
+                every = np.ones(len(sids), bool)
+                for i in range(1, len(sids)):
+                    found = tree.search(i, every)
+                    if len(found):
+                        near[i] = near[found] = True
+                kept = sids[order][near]
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(kept), pa.int64()), pa.array(kept, pa.int64())], ["token", "sid"])
+
+        for batch in batches:
+            for token, sid, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != token:
+                    if len(held) > 1:
+                        yield solve()
+                    key, held = token, {}
+                held[sid] = counts
+        yield solve()
+
+    return rows.select("token", "sid", "counts").repartition("token").sortWithinPartitions("token", "sid").mapInArrow(scan, "token long, sid long")
 
 
 def _link(rows: DataFrame) -> DataFrame:
@@ -255,15 +310,23 @@ def links(docs: DataFrame, signed: DataFrame, hot) -> DataFrame:
     prefixes = save(_prefixes(docs, hot), "op6-prefixes")
     shared = prefixes.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("k")).filter("low <> high").select("token", "k")
     held = save(prefixes.join(shared, "token"), "op6-held")
+    points = signed.groupBy("sid").agg(F.first("counts").alias("counts"))
+    near = _near(held.filter(F.col("k") <= BLOCK).join(points, "sid")).unionByName(held.filter(F.col("k") > BLOCK).select("token", "sid").distinct())
+    near = save(near, "op6-near")
+    marks = near.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(5))).alias("y"))
+    marks = marks.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token", "k")
+    places = prefixes.select("token", "sid", "pos").distinct()
+    held = save(near.join(marks, "token").join(places, ["token", "sid"]), "op6-blocks")
     first = held.groupBy("sid").agg(F.min_by(F.struct("token", "k"), "pos").alias("first")).select("sid", "first.*")
     first = first.withColumn("cell", _cells(F.col("k"))).withColumn("seen", F.xxhash64("token", "cell").bitwiseOR(F.lit(1).cast("long")))
     first = save(first, "op6-first")
-    wanted = signed.filter("size > 0").groupBy("sid").agg(F.min("doc").alias("doc")).join(first.select("sid"), "sid")
-    sets = save(_sets(docs.join(wanted, "doc").select("sid", "text")), "op6-sets")
+    wanted = signed.filter("size > 0").groupBy("sid").agg(F.min("doc").alias("doc")).join(first, "sid")
+    dealt = save(_sets(docs.join(wanted, "doc").select("sid", "token", "cell", "seen", "text")), "op6-sets")
+    sets = dealt.select("sid", "items")
 
-    rows = first.join(sets, "sid").withColumn("comp", F.col("sid")).withColumn("seen", F.lit(0).cast("long"))
-    found = save(_link(rows), "op6-links")
-    comps = components(found)
+    found = save(_link(dealt.withColumn("comp", F.col("sid")).withColumn("seen", F.lit(0).cast("long"))), "op6-links")
+    # a set is in one cell so far: the stars are the components
+    comps = found.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
     def open_blocks(comps: DataFrame) -> DataFrame:
         """(token, k, sid, comp, seen) of blocks whose pairs aren't all settled."""
@@ -275,7 +338,8 @@ def links(docs: DataFrame, signed: DataFrame, hot) -> DataFrame:
     again = save(open_blocks(comps), "op6-open")
     few = again.filter(F.col("k") <= BLOCK).withColumn("cell", F.lit(0).cast("long"))
     large = again.filter(F.col("k") > BLOCK)
-    ends = large.groupBy("token", "comp").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("n"))
+    mark = F.xxhash64("sid", "token")  # other members for other shingles
+    ends = large.groupBy("token", "comp").agg(F.min_by("sid", mark).alias("low"), F.max_by("sid", mark).alias("high"))
     parts = ends.groupBy("token").agg((2 * F.count("*")).alias("k"))
     ends = ends.select("token", "comp", F.explode(F.array_distinct(F.array("low", "high"))).alias("sid")).join(parts, "token").withColumn("cell", _cells(F.col("k")))
     met = few.select("token", "cell", "sid", "comp", "seen").unionByName(ends.select("token", "cell", "sid", "comp", F.lit(0).cast("long").alias("seen")))
@@ -300,7 +364,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
     made = save(_signatures(rows), "op6-signed")
-    signed = made.filter("size is not null").select("doc", "size", "sid")
+    signed = made.filter("size is not null").select("doc", "size", "sid", "counts")
     named = signed.filter("doc is not null")
     n = signed.count()
     counts = made.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(HOT_LEAST, HOT * n))
