@@ -41,60 +41,62 @@ LENGTH, GRAM = 50, 20
 #: Anchors in one bucket of the screen, bytes of text per anchor, and fewest buckets.
 BUCKET, SPACING, LEAST = 4_000_000, 16, 32
 #: Segments of one anchor, and bytes of segments, in one suffix array.
-SHARE, ARRAY = 256, 1_000_000
+SHARE, ARRAY = 8192, 1_000_000
 _rng = np.random.default_rng(20_240_807)
 _BYTE = _rng.integers(1, 2**63, 256, np.uint64)
 
 
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one integer in their order; zeros past the end."""
+    wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(text), np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | wide[k : k + len(text)]
+    return out
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of positive integers by the difference cover {1, 2} modulo 3."""
+    """Suffix array of bytes by the difference cover {1, 2} modulo 3.
+
+    Symbols are the ranks of 16-byte prefixes, which order suffixes as bytes do, so
+    the first names cover 48 bytes and few levels of recursion follow.
+    """
+    n = len(text)
+    half = np.unique(_words(text), return_inverse=True)[1] + 1
+    later = np.concatenate([half[8:], np.zeros(min(8, n), np.int64)])
+    return _order(np.unique(half * (n + 2) + later, return_inverse=True)[1] + 1, 16)
+
+
+def _order(text: np.ndarray, step: int) -> np.ndarray:
+    """Suffix order of positive integers; names are of triples ``step`` places apart."""
     n = len(text)
     if n < 8:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
-    padded = np.concatenate([text.astype(np.int64), [0, 0, 0, 0]])
+    t = np.concatenate([text.astype(np.int64), np.zeros(2 * step + 3, np.int64)])
     sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
-    triples = padded[sample], padded[sample + 1], padded[sample + 2]
-    order = np.lexsort(triples[::-1])
-    new = np.zeros(len(sample), bool)
-    for t in triples:
-        new[1:] |= t[order][1:] != t[order][:-1]
-    names = np.empty(len(sample), np.int64)
-    names[order] = np.cumsum(new) + 1
-    if not new[1:].all():
-        order = suffix_array(names)
-        names[order] = np.arange(1, len(sample) + 1)
+    base = int(text.max()) + 1
+    triples = (t[sample] * base + t[sample + step]) * base + t[sample + 2 * step]
+    known, names = np.unique(triples, return_inverse=True)
+    names = names.astype(np.int64) + 1
+    if len(known) < len(sample):
+        names[_order(names, 1)] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = names
-    sampled = sample[order]
-    sampled = sampled[sampled < n]
+    order = np.empty(len(sample), np.int64)
+    order[names - 1] = sample
+    order = order[order < n]
+    size = len(sample) + 1
+    one, two = order[order % 3 == 1], order[order % 3 == 2]
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], padded[rest]))]
-    return _merge(padded, rank, sampled, rest)
-
-
-def _merge(t: np.ndarray, rank: np.ndarray, sampled: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Merges the suffixes at 0 mod 3 into the sampled ones by a binary search of each."""
-    low, high = np.zeros(len(rest), np.int64), np.full(len(rest), len(sampled))
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            break
-        mid = (low[open_] + high[open_]) // 2
-        i, j = rest[open_], sampled[mid]
-        one = j % 3 == 1
-        first = np.where(t[i] != t[j], t[i] < t[j], False)
-        tie = t[i] == t[j]
-        by_one = rank[i + 1] < rank[j + 1]
-        by_two = np.where(t[i + 1] != t[j + 1], t[i + 1] < t[j + 1], rank[i + 2] < rank[j + 2])
-        less = first | (tie & np.where(one, by_one, by_two))
-        high[open_[less]] = mid[less]
-        low[open_[~less]] = mid[~less] + 1
-    out = np.empty(len(sampled) + len(rest), np.int64)
-    at = low + np.arange(len(rest))
-    out[at] = rest
-    free = np.ones(len(out), bool)
+    rest = rest[np.argsort(t[rest] * size + rank[rest + 1], kind="stable")]
+    # a suffix at 0 mod 3 meets those at 1 by (symbol, rank), those at 2 by two symbols and a rank
+    under_one = np.searchsorted(t[one] * size + rank[one + 1], t[rest] * size + rank[rest + 1])
+    under_two = np.searchsorted((t[two] * base + t[two + 1]) * size + rank[two + 2], (t[rest] * base + t[rest + 1]) * size + rank[rest + 2])
+    out = np.empty(n, np.int64)
+    at = under_one + under_two + np.arange(len(rest))
+    free = np.ones(n, bool)
     free[at] = False
-    out[free] = sampled
+    out[at], out[free] = rest, order
     return out
 
 
@@ -215,7 +217,7 @@ def _shared_prints(rows: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(sids, kind="stable")
         prints, sids = prints[order], sids[order]
         who, start = np.unique(sids, return_index=True)
-        ends = [*start[1:].tolist(), len(sids)]
+        ends = [*start[1:].tolist(), len(sids)][: len(who)]
         found = [np.unique(prints[a:b]).tobytes() for a, b in zip(start.tolist(), ends, strict=True)]
         yield _batch({"sid": who, "bucket": [bucket] * len(who), "prints": found}, schema)
 
@@ -288,17 +290,16 @@ def string_classes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     One suffix array over all pieces; neighbours in it are compared by their prefixes.
     """
     sizes = np.array([len(p) for p in pieces], np.int64)
-    raw = np.frombuffer(b"".join(p + b"\0" for p in pieces), np.uint8).astype(np.int64) + 2
+    raw = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8)  # no UTF-8 text has this byte
     ends = np.cumsum(sizes + 1) - 1
-    raw[ends] = 1
     order = suffix_array(raw)
-    piece = np.searchsorted(ends, order)
+    piece = np.searchsorted(ends, np.arange(len(raw)))[order]
     whole = ends[piece] - order >= LENGTH
     order, piece = order[whole], piece[whole]
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in range(LENGTH):
-        near = np.flatnonzero(same)
-        same[near] = raw[order[near] + k] == raw[order[near + 1] + k]
+    words, same = _words(raw), np.ones(max(0, len(order) - 1), bool)
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        w = words[order + k]
+        same &= w[1:] == w[:-1]
     return piece, order - (ends - sizes)[piece], np.concatenate([np.zeros(min(1, len(order)), np.int64), np.cumsum(~same)])
 
 
@@ -401,7 +402,7 @@ def cuts(docs: DataFrame) -> DataFrame:
     first = across.groupBy("hash").agg(F.min("owner").alias("first"))
     early = across.join(first, "hash").filter("first < doc").unionByName(found.filter("split = 0").withColumn("first", F.col("owner")))
     spans = later.unionByName(early.select("sid", "start", F.lit(LENGTH).alias("size")))
-    spans = spans.groupBy("sid").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = save(spans.groupBy("sid").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "op10-spans")
     return _cuts(active.select("sid", "text").join(spans, "sid"))
 
 
