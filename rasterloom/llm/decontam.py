@@ -1,27 +1,28 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-A document leaks an item of n words if some window of n of its words is within
-word edit distance floor(n / 4) of the item (similarity of 0.75 or more).  Words
-are runs of letters, digits and underscores, lower-cased.
+A document leaks an item of n words if some passage of it, of whatever length, is
+within word edit distance floor(n / 4) of the item (similarity of 0.75 or more), so a
+dropped or inserted word costs one edit.  Words are runs of letters, digits and
+underscores, lower-cased.
 
-1. A window within d edits of an item keeps at least n - q + 1 - q*d of its q-grams,
-   each shifted by at most d.  Windows that share fewer are never built; this screen
+1. A passage within d edits of an item keeps at least n - q + 1 - q*d of its q-grams,
+   each shifted by at most d.  Starts with fewer are never looked at; this screen
    loses nothing (q is 3, or less for short items, so that the count is positive).
-2. The CGK random walk maps each remaining item-sized window, and the item, to
-   strings of equal length: it copies the symbol under its pointer and moves the
-   pointer on by a random bit of (step, symbol).  Edits become Hamming distance.
-3. Each of ``WALKS`` walks is sampled at ``SAMPLES`` sets of ``BITS`` places; a window
-   that agrees with the item in all places of one set is a candidate.  At distance
-   floor(n / 4) this reaches a recall of 0.99 for windows of 12 words or more.
-4. Candidates are verified by exact edit distance.
+2. The words from each remaining start to n + d words on are verified by semi-global
+   edit distance (the whole item, ends free in the document).  Nothing is sampled.
+
+The CGK walks with bit sampling (``Items.agrees``) compare windows of n words, which a
+leak of d edits can miss by up to 2d, so they don't decide.
 
 Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text; a larger benchmark
 takes more blocks, each another column over the same scan, never a larger broadcast.
 Nothing is shuffled.
 
 Defined cases: null and empty texts and items leak nothing; repeated items are
-reported each; a document reports each item once, with its smallest distance and
-the first window that has it; other columns pass through.
+reported each; a document reports each item once: the smallest distance of a window of
+n words and the first such window, or where none is within the limit (shorter documents
+too) the smallest distance of a passage of any length and the first start that has it;
+other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4_000_000
+CELLS = 1 << 18  # words that are compared with an item at a time
 WALKS, SAMPLES, BITS, SEED = 12, 24, 2, 20_240_229
 _WORD = re.compile(r"\w+").findall
 
@@ -56,6 +59,18 @@ def edit_distances(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def passages(item: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least edit distance of the item to any passage of each row, and its first start."""
+    wide = rows.shape[1] + 1
+    places = np.arange(wide) * wide
+    row = np.broadcast_to(np.arange(wide), (len(rows), wide))  # an edit counts wide, over every start
+    for i, symbol in enumerate(item):
+        swap = row[:, :-1] + wide * (rows != symbol)
+        new = np.concatenate([np.full((len(rows), 1), (i + 1) * wide), np.minimum(swap, row[:, 1:] + wide)], axis=1)
+        row = np.minimum.accumulate(new - places, axis=1) + places
+    return np.divmod(row.min(axis=1), wide)
+
+
 class Items:
     """A block of benchmark items with their q-grams and walks."""
 
@@ -80,10 +95,12 @@ class Items:
         self.size = len(self.vocabulary) + 1
         self.tables = {q: self._table(q, t) for q, t in tables.items()}
         self.longest = max(map(len, self.items), default=0)
+
+    @cached_property
+    def drawn(self) -> tuple[np.ndarray, np.ndarray]:
+        """The walks' moves and the shares of their length that are sampled."""
         rng = np.random.default_rng(SEED)
-        self.moves = rng.integers(0, 2, (WALKS, 3 * self.longest, self.size + 1), np.uint8)
-        self.shares = rng.random((WALKS, SAMPLES, BITS))
-        self.walked = [self.walk(x[None]) for x in self.items]
+        return rng.integers(0, 2, (WALKS, 3 * self.longest, self.size + 1), np.uint8), rng.random((WALKS, SAMPLES, BITS))
 
     def _table(self, q: int, grams: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         keys = {int(self._key(np.array(g)[:, None])[0]): places for g, places in grams.items()}
@@ -107,21 +124,21 @@ class Items:
         out = np.empty((WALKS, count, 3 * n), np.int32)
         for step in range(3 * n):
             out[:, :, step] = symbols = padded[rows, at]
-            at = np.minimum(at + self.moves[which, step, symbols], n)
+            at = np.minimum(at + self.drawn[0][which, step, symbols], n)
         return out
 
     def agrees(self, item: int, windows: np.ndarray) -> np.ndarray:
         """Windows that agree with the item in one sampled set of places."""
         n = windows.shape[1]
-        same = self.walk(windows) == self.walked[item]
-        places = (self.shares * 3 * n).astype(np.int64)
+        same = self.walk(windows) == self.walk(self.items[item][None])
+        places = (self.drawn[1] * 3 * n).astype(np.int64)
         hit = np.zeros(len(windows), bool)
         for walk in range(WALKS):
             hit |= same[walk][:, places[walk]].all(axis=2).any(axis=1)
         return hit
 
     def screened(self, symbols: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of the windows that share enough q-grams, by item."""
+        """Starts of the passages that share enough q-grams, by item."""
         total, found = len(symbols), {}
         for q, (keys, starts, item, offset) in self.tables.items():
             if total < q:
@@ -140,9 +157,9 @@ class Items:
             for i in np.unique(who):
                 mine = shift[slice(*np.searchsorted(who, [i, i + 1]))]
                 n, d = len(self.items[i]), self.edits[i]
-                if len(mine) < self.grams[i] or total < n:
+                if len(mine) < self.grams[i] or total < n - d:
                     continue
-                begin = np.unique(np.clip((mine[:, None] + np.arange(-d, d + 1)).ravel(), 0, total - n))
+                begin = np.unique(np.clip((mine[:, None] + np.arange(-d, d + 1)).ravel(), 0, total - n + d))
                 share = np.searchsorted(mine, begin + d, "right") - np.searchsorted(mine, begin - d, "left")
                 begin = begin[share >= self.grams[i]]
                 if len(begin):
@@ -157,26 +174,46 @@ class Items:
             said = words(text)
             symbols = np.fromiter(map(get, said, repeat(0)), np.int64, len(said))
             for i, begin in self.screened(symbols).items():
-                jobs[i].append((row, begin, symbols[begin[:, None] + np.arange(len(self.items[i]))]))
+                jobs[i].append((row, begin, symbols))
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for i in sorted(jobs):
-            rows = np.concatenate([np.full(len(b), r) for r, b, _ in jobs[i]])
-            begin = np.concatenate([b for _, b, _ in jobs[i]])
-            windows = np.concatenate([w for *_, w in jobs[i]])
-            for part in range(0, len(rows), 4096):
-                cut = slice(part, part + 4096)
-                hit = np.flatnonzero(self.agrees(i, windows[cut])) + part
-                far = edit_distances(self.items[i], windows[hit])
-                for r, d, b in zip(rows[hit].tolist(), far.tolist(), begin[hit].tolist(), strict=True):
-                    if d <= self.edits[i]:
-                        out[r].append((i, d, b))
-        for row, got in enumerate(out):
-            best = {}
-            for i, d, b in got:
-                best[i] = min(best.get(i, (d, b)), (d, b))
-            out[row] = [(i, *best[i]) for i in sorted(best)]
+            for (row, begin, symbols), (d, b) in zip(jobs[i], self._nearest(i, jobs[i]), strict=True):
+                if d > self.edits[i]:
+                    continue
+                n = len(self.items[i])
+                begin = begin[begin <= len(symbols) - n]
+                best = []
+                for part in range(0, len(begin), 4096):
+                    cut = begin[part : part + 4096]
+                    far = edit_distances(self.items[i], symbols[cut[:, None] + np.arange(n)])
+                    k = int(far.argmin())
+                    best.append((int(far[k]), int(cut[k])))
+                window = min(best, default=(n, 0))
+                out[row].append((i, *(window if window[0] <= self.edits[i] else (d, b))))
         return out
 
+    def _nearest(self, item: int, jobs: list) -> list[tuple[int, int]]:
+        """(distance, start) of each job's passage nearest to the item."""
+        n, d = len(self.items[item]), self.edits[item]
+        regions = []
+        for k, (_, begin, symbols) in enumerate(jobs):
+            cut = np.flatnonzero(np.diff(begin) > n)
+            for first, last in zip(begin[np.r_[0, cut + 1]].tolist(), begin[np.r_[cut, len(begin) - 1]].tolist(), strict=True):
+                regions.append((k, first, symbols[first : last + n + d]))
+        regions.sort(key=lambda r: len(r[2]))
+        best = [(n + 1, 0)] * len(jobs)
+        while regions:
+            part = [regions.pop()]  # the longest is the first
+            wide = len(part[0][2])
+            while regions and (len(part) + 1) * wide <= CELLS and 2 * len(regions[-1][2]) > wide:
+                part.append(regions.pop())
+            rows = np.full((len(part), wide), -1, np.int64)
+            for row, (*_, said) in zip(rows, part, strict=True):
+                row[: len(said)] = said
+            for (k, first, _), far, at in zip(part, *map(np.ndarray.tolist, passages(self.items[item], rows)), strict=True):
+                best[k] = min(best[k], (far, first + at))
+        return best
+
 
 LEAKS = "array<struct<item_id:bigint,distance:int,n_words:int,start:int>>"
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("n_words", pa.int32()), ("start", pa.int32())]))

@@ -241,6 +241,44 @@ def test_lsh_recall_at_the_threshold():
     assert hits / total >= 0.99
 
 
+def passage_distance(item, said):
+    row = [0] * (len(said) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(said, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_dropped_and_inserted_words_cost_one_edit_each():
+    rng = random.Random(8)
+    pool = [f"w{k}" for k in range(80)]
+    items = [[rng.choice(pool) for _ in range(n)] for n in (4, 7, 12, 16, 20, 40, 59)]
+    texts = []
+    for w in items:
+        n = len(w)
+        for edits in range(n // 4 + 2):
+            for drop in (True, False):
+                for around in (0, 15):
+                    said = [x for k, x in enumerate(w) if not drop or k not in {n * (e + 1) // (edits + 1) for e in range(edits)}]
+                    for e in reversed(range(0 if drop else edits)):
+                        said.insert(n * (e + 1) // (edits + 1), rng.choice(pool))
+                    texts.append([*rng.choices(pool, k=around), *said, *rng.choices(pool, k=around)])
+    found = decontam.Items([(k, " ".join(w)) for k, w in enumerate(items)], 0.25)
+    got = found.leaks([" ".join(x) for x in texts])
+    beyond = 0
+    for said, made in zip(texts, got, strict=True):
+        true = {k: d for k, w in enumerate(items) if (d := passage_distance(w, said)) <= len(w) // 4}
+        windows = {k: (d, s) for k, d, _, s in leaks(" ".join(said), [(k, " ".join(w)) for k, w in enumerate(items)])}
+        assert {k for k, *_ in made} == set(true)
+        for k, d, start in made:
+            assert (d, start) == windows[k] if k in windows else d == true[k]
+            assert k in windows or passage_distance(items[k], said[start:]) == d
+        beyond += len(set(true) - set(windows))
+    assert beyond > 20
+
+
 # --- op 6
 
 
