@@ -118,7 +118,16 @@ BANDS = "select (l_orderkey % 50)::bigint as session_id, (l_partkey % 1000)::big
 select session_id, cluster, arg_max(y, k) as y, arg_max(y_lo, k) as y_lo, arg_max(y_hi, k) as y_hi, arg_max(area, k) as area from f group by session_id, cluster"""
 )
 def band_merge(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 1")
+    return _merged(spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 1"))
+
+
+@query(SQL["band_merge"].replace(BANDS, BANDS.replace(" where l_linenumber = 1", "")))
+def band_merge_all(spark, sf_dir):
+    """``band_merge`` over every row of the table."""
+    return _merged(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def _merged(rows):
     y, half = F.col("l_partkey") % 1000, F.col("l_suppkey") % 4
     bands = rows.groupBy((F.col("l_orderkey") % 50).alias("session_id"), y.alias("y")).agg(F.min(y - half).alias("y_lo"), F.max(y + half).alias("y_hi"), F.sum("l_linenumber").alias("area"))
     return heights.merge_bands(bands)

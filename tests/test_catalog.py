@@ -25,3 +25,8 @@ def test_auto_detect_tiles_the_scan(spark, small):
     got = catalog.QUERIES["auto_detect"](spark, small)
     assert got.count() == px.count() == got.select("session_id", "u", "v").distinct().count()
     assert got.filter("region is null").isEmpty()
+
+
+def test_band_merge_reads_the_whole_table(spark, small, oracle):
+    got = catalog.QUERIES["band_merge_all"](spark, small).agg({"area": "sum"}).first()[0]
+    assert got == oracle.execute("select sum(l_linenumber) from lineitem").fetchone()[0]
