@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as geo
@@ -561,14 +561,59 @@ for _name in segment.kernels.SEG:
     QUERIES[f"seg_{_name}"] = _segmentation(_name)
 
 
+#: The reference's grid (debug/experiments.py): name, algorithm, arguments.
+EXPERIMENTS: list[tuple[str, str, dict]] = [
+    ("histogram", "histogram", {}),
+    ("felzenszwalb_s100", "felzenszwalb", {"scale": 100}),
+    ("felzenszwalb_s200", "felzenszwalb", {"scale": 200}),
+    ("felzenszwalb_s400", "felzenszwalb", {"scale": 400}),
+    ("felzenszwalb_s800", "felzenszwalb", {"scale": 800}),
+    ("felzenszwalb_s1500", "felzenszwalb", {"scale": 1500}),
+    ("felzenszwalb_s400_sigma0", "felzenszwalb", {"scale": 400, "sigma": 0.0}),
+    ("region_growing_1cm", "region_growing", {"threshold_m": 0.01}),
+    ("region_growing_2cm", "region_growing", {"threshold_m": 0.02}),
+    ("region_growing_3cm", "region_growing", {"threshold_m": 0.03}),
+    ("region_growing_5cm", "region_growing", {"threshold_m": 0.05}),
+    ("wall_constrained_010", "wall_constrained", {"min_cell_px_m2": 0.1}),
+    ("wall_constrained_030", "wall_constrained", {"min_cell_px_m2": 0.3}),
+    ("wall_constrained_060", "wall_constrained", {"min_cell_px_m2": 0.6}),
+    ("felzenszwalb_s150", "felzenszwalb", {"scale": 150}),
+    ("felzenszwalb_s175", "felzenszwalb", {"scale": 175}),
+    ("felzenszwalb_s225", "felzenszwalb", {"scale": 225}),
+    ("felzenszwalb_s250", "felzenszwalb", {"scale": 250}),
+    ("felz_merged_s200_2cm", "felzenszwalb_merged", {"scale": 200, "merge_threshold_m": 0.02}),
+    ("felz_merged_s200_3cm", "felzenszwalb_merged", {"scale": 200, "merge_threshold_m": 0.03}),
+    ("felz_merged_s200_5cm", "felzenszwalb_merged", {"scale": 200, "merge_threshold_m": 0.05}),
+    ("felz_merged_s400_3cm", "felzenszwalb_merged", {"scale": 400, "merge_threshold_m": 0.03}),
+    ("watershed_default", "watershed_multi", {}),
+    ("watershed_high_wall", "watershed_multi", {"wall_weight": 4.0}),
+    ("watershed_no_texture", "watershed_multi", {"texture_weight": 0.0}),
+    ("watershed_high_texture", "watershed_multi", {"texture_weight": 1.5}),
+    ("region_growing_tex_3cm", "region_growing_texture", {"threshold_m": 0.03}),
+    ("slic_merge_n200_2cm", "slic_merge", {"n_segments": 200, "merge_threshold_m": 0.02}),
+    ("slic_merge_n500_2cm", "slic_merge", {"n_segments": 500, "merge_threshold_m": 0.02}),
+    ("slic_merge_n1000_3cm", "slic_merge", {"n_segments": 1000, "merge_threshold_m": 0.03}),
+    ("felz_image_s200_3cm", "felzenszwalb_image", {"scale": 200, "merge_threshold_m": 0.03}),
+    ("felz_image_s400_3cm", "felzenszwalb_image", {"scale": 400, "merge_threshold_m": 0.03}),
+    ("felz_image_s800_3cm", "felzenszwalb_image", {"scale": 800, "merge_threshold_m": 0.03}),
+    ("felz_image_only_s400", "felzenszwalb_image_only", {"scale": 400}),
+    ("felz_image_only_s800", "felzenszwalb_image_only", {"scale": 800}),
+    ("felz_combined_s200", "felzenszwalb_combined", {"scale": 200}),
+    ("felz_combined_s200_h2", "felzenszwalb_combined", {"scale": 200, "intensity_weight": 0.6}),
+]
+
+
 @query()
 def experiment_sweep(spark, sf_dir):
-    """Scores of several configurations on every scan, best first."""
+    """Scores of the reference's configurations on every scan, best first; one that labels nothing scores 0."""
     rows = scans(spark, sf_dir)
-    runs = [("histogram", "histogram", {}), ("region_growing_2cm", "region_growing", {"threshold_m": 0.02}), ("felzenszwalb_s200", "felzenszwalb", {"scale": 200}), ("unknown", "none", {})]
-    made = segment.sweep(rows, runs, 20.0).join(rows.select("session_id", "u", "v", F.col("plane").alias("truth")), ["session_id", "u", "v"])
+    made = segment.sweep(rows, EXPERIMENTS, 20.0).join(rows.select("session_id", "u", "v", F.col("plane").alias("truth")), ["session_id", "u", "v"])
     scored = scoring.score(made.withColumn("run", F.concat_ws("|", "session_id", "name")), "label", "truth", "run")
-    return scored
+    runs = spark.createDataFrame([(k, name, algorithm) for k, (name, algorithm, _) in enumerate(EXPERIMENTS)], "position int, name string, algorithm string")
+    every = rows.select("session_id").distinct().crossJoin(F.broadcast(runs)).withColumn("run", F.concat_ws("|", "session_id", "name"))
+    whole = every.join(scored, "run", "left").fillna(0)
+    best = Window.partitionBy("session_id").orderBy(F.desc("mean_iou"), "position")
+    return whole.withColumn("rank", F.row_number().over(best)).drop("position").orderBy("session_id", "rank")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

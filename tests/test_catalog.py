@@ -30,3 +30,12 @@ def test_auto_detect_tiles_the_scan(spark, small):
 def test_band_merge_reads_the_whole_table(spark, small, oracle):
     got = catalog.QUERIES["band_merge_all"](spark, small).agg({"area": "sum"}).first()[0]
     assert got == oracle.execute("select sum(l_linenumber) from lineitem").fetchone()[0]
+
+
+def test_sweep_ranks_the_whole_grid(spark, small):
+    got = catalog.QUERIES["experiment_sweep"](spark, small).toPandas()
+    scans = catalog.pixels(spark, small).select("session_id").distinct().count()
+    assert len(got) == 37 * scans and set(got.algorithm) == set(catalog.segment.kernels.SEG)
+    for _, one in got.groupby("session_id"):
+        assert one["rank"].tolist() == list(range(1, 38)) and one["name"].nunique() == 37
+        assert one.mean_iou.is_monotonic_decreasing
