@@ -14,7 +14,9 @@ What is found, how it is validated, and what stays:
   but ``restore`` may give a zero back where both fields of the pseudonym have two digits
 * IBAN (length, mod 97): country stays, check digits are made valid again
 * card numbers (13 to 19 digits, Luhn): the last digit is made valid again
-* account numbers (13 to 19 digits without a valid Luhn digit): all digits
+  where further groups of digits follow a card after a blank or hyphen, and all together
+  aren't a card, the longest leading card is taken and the rest read on its own
+* account numbers (13 to 19 digits without a valid Luhn digit or leading card): all digits
 * US social security numbers (no reserved group): stay unreserved
 * telephone numbers (leading ``+``, 8 to 15 digits): the country code's first digit stays
 * IPv4 addresses (four octets up to 255)
@@ -205,15 +207,32 @@ def _phone(f, said, back):
     return _refill(said, flat[0] + _numeric(f, "phone", flat[1:], back))
 
 
+def _card_end(said: str) -> int:
+    """Where the longest leading card ends: at a separator or the end; 0 if there is none."""
+    for end in [len(said), *(i for i in reversed(range(len(said))) if not said[i].isdigit())]:
+        flat = re.sub(r"\D", "", said[:end])
+        if len(flat) > 12 and luhn_digit(flat[:-1]) == int(flat[-1]):
+            return end
+    return 0
+
+
 def _card(f, said, back):
-    flat = re.sub(r"\D", "", said)
-    if luhn_digit(flat[:-1]) == int(flat[-1]):
-        body = _numeric(f, "card", flat[:-1], back)
-        return _refill(said, body + str(luhn_digit(body)))
-    new = _numeric(f, "account", flat, back)
-    while luhn_digit(new[:-1]) == int(new[-1]):  # the cycle goes on to the next that isn't a card
-        new = _numeric(f, "account", new, back)
-    return _refill(said, new)
+    """The pseudonym of a number, or of the card that leads it.
+
+    Cycles go on to the next value that reads the same way, so that it can be restored.
+    """
+    end = _card_end(said)
+    head, rest = (said[:end], said[end:]) if end else (said, "")
+    flat = re.sub(r"\D", "", head)
+    while True:
+        if end:
+            body = _numeric(f, "card", flat[:-1], back)
+            flat = body + str(luhn_digit(body))
+        else:
+            flat = _numeric(f, "account", flat, back)
+        new = _refill(head, flat)
+        if _card_end(new + rest) == end:
+            return new
 
 
 def _ip(f, said, back):
@@ -232,20 +251,33 @@ def _secret(f, said, back):
 _MAKE = {"email": _email, "date": _date, "iban": _iban, "ssn": _ssn, "phone": _phone, "number": _card, "ip": _ip, "secret": _secret}
 
 
+def _before_others(text: str, m: re.Match, f: Feistel) -> str:
+    """A number up to where a find of another kind starts in it, such as a date after a card."""
+    for i in range(m.start() + 13, m.end()):
+        if not text[i].isdigit() and sum(c.isdigit() for c in text[m.start() : i]) > 12:
+            other = _FIND.match(text, i + 1)
+            if other and other.lastgroup != "number" and _MAKE[other.lastgroup](f, other.group(), False) is not None:
+                return text[m.start() : i]
+    return m.group()
+
+
 def replace(text: str, f: Feistel, back: bool = False) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and where they stand in it."""
     if not _MAYBE.search(text):
         return text, []
     out, spans, at, size = [], [], 0, 0
-    for m in _FIND.finditer(text):
-        new = _MAKE[m.lastgroup](f, m.group(), back)
+    stop = 0
+    while m := _FIND.search(text, stop):
+        said = _before_others(text, m, f) if m.lastgroup == "number" else m.group()
+        new = _MAKE[m.lastgroup](f, said, back)
+        stop = m.start() + len(new) if m.lastgroup == "number" else m.end()  # a card may lead a longer number
         if new is None:
             continue
         out += [text[at : m.start()], new]
         size += m.start() - at
         spans.append({"start": size, "stop": size + len(new), "kind": m.lastgroup})
         size += len(new)
-        at = m.end()
+        at = stop
     return "".join([*out, text[at:]]), spans
 
 
