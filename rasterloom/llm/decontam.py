@@ -12,7 +12,9 @@ underscores, lower-cased.
    edit distance (the whole item, ends free in the document).  Nothing is sampled.
 
 The CGK walks with bit sampling (``Items.agrees``) compare windows of n words, which a
-leak of d edits can miss by up to 2d, so they don't decide.
+leak of d edits can miss by up to 2d, and let every unrelated window through (sets of
+two places, of which the last third are pads on both sides), so they select nothing and
+aren't used: the q-gram screen is the candidate method.
 
 Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text; a larger benchmark
 takes more blocks, each another column over the same scan, never a larger broadcast.

@@ -308,6 +308,12 @@ def test_dropped_and_inserted_words_cost_one_edit_each():
     assert beyond > 20
 
 
+def test_the_walks_select_nothing(monkeypatch):
+    monkeypatch.delattr(decontam.Items, "agrees")
+    items = decontam.Items([(1, "a b c d e f g h i j k l")], 0.25)
+    assert items.leaks(["x a b c d e f g h i j k l", "a b c d z f g h i j k", "a b z d e z g h z j z l"]) == [[(0, 0, 1)], [(0, 2, 0)], []]
+
+
 # --- op 6
 
 
