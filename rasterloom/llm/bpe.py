@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterloom.llm.common import with_fields
+
 #: Code points newer than the vocabulary library's Unicode tables,
 #: which it takes as neither letters nor numbers.
 NEW_LETTERS = (
@@ -50,7 +52,7 @@ def split_pattern(letter: str, number: str, space: str) -> str:
 NARROW = split_pattern(r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0")
 ANY = split_pattern(rf"[\p{{L}}--[{NEW_LETTERS}]]", rf"[\p{{N}}--[{NEW_NUMBERS}]]", r"\p{White_Space}")
 #: Pre-tokens a worker remembers, and the longest it remembers.
-MEMO, MEMO_LEN = 1_000_000, 48
+MEMO, MEMO_LEN = 300_000, 48
 _NONE = np.iinfo(np.int64).max
 
 
@@ -83,6 +85,8 @@ class Vocabulary:
             self.bytes[i] = bytes(back[c] for c in token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
+        sizes = np.fromiter(map(len, self.bytes), np.int64, size)
+        self.pool = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(sizes) - sizes, sizes
         self.narrow = re.compile(NARROW).findall
         self.any = regex.compile(ANY, regex.V1).findall
         self.wide = re.compile(r"[^\x00-\u024f]").search
@@ -264,19 +268,27 @@ class Memo(dict):
 
 
 class Encoder(dict):
-    """Ids (packed int32) by pre-token; merges the new pre-tokens of a batch together."""
+    """Ids (packed int32) by pre-token; merges the new pre-tokens of a batch together.
+
+    Remembered are the pre-tokens met last: when half of ``MEMO`` is full it becomes
+    the older half, and what isn't met again before the next turn is forgotten.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary, self.table = vocabulary, PairTable(vocabulary.pairs)
         self.first = np.array(vocabulary.first, np.int64)
+        self.older: dict = {}
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.vocabulary.words(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self)
-        if len(self) + len(new) > MEMO:
+        if len(self) > MEMO // 2:
+            self.older = dict(self)
             self.clear()
-            new = set(chain.from_iterable(split))
+        new = set(chain.from_iterable(split)).difference(self)
+        met = new.intersection(self.older)
+        self.update(zip(met, map(self.older.__getitem__, met), strict=True))
+        new -= met
         plain = [w for w in new if type(w) is str]
         self.update((w, np.array(w, np.int32).tobytes()) for w in new if type(w) is tuple)
         self.update(zip(plain, merge_ids([w.encode() for w in plain], self.first, self.table), strict=True))
@@ -327,15 +339,40 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", out: str = "
     return df.withColumn(out, F.arrow_udf(count, T.LongType())(F.col(text)))
 
 
+def _id_lists(encoder: Encoder, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The ids of each text as lists, and their borders and values."""
+    flat = encoder.batch(texts.to_pylist())
+    ends = np.cumsum([0, *map(len, flat)])
+    values = np.concatenate([*flat, np.empty(0, np.int32)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), ends, values
+
+
+def _decoded(vocabulary: Vocabulary, ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The texts of consecutive runs of ids, cut from the pool of all tokens' bytes."""
+    pool, starts, sizes = vocabulary.pool
+    values = values[: ends[-1]]
+    many = sizes[values]
+    borders = np.concatenate([[0], np.cumsum(many)])
+    raw = pool[np.repeat(starts[values] - borders[:-1], many) + np.arange(borders[-1])]
+    borders = borders[ends]
+    inside = borders[borders < len(raw)]
+    joined = raw.tobytes()
+    try:
+        joined.decode()
+        whole = not (raw[inside] & 0xC0 == 0x80).any()
+    except UnicodeDecodeError:
+        whole = False
+    if whole:
+        return pa.LargeStringArray.from_buffers(len(borders) - 1, pa.py_buffer(borders.astype(np.int64)), pa.py_buffer(joined)).cast(pa.string())
+    return pa.array([joined[a:b].decode("utf-8", "replace") for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)], pa.string())
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` plus the token ids of column ``text`` (an empty array for null)."""
     raw = df.sparkSession.sparkContext.broadcast(_raw(tokenizer))
 
     def ids(texts: pa.Array) -> pa.Array:
-        flat = _tables(raw.value)[2].batch(texts.to_pylist())
-        ends = np.cumsum([0, *map(len, flat)])
-        values = np.concatenate([*flat, np.empty(0, np.int32)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        return _id_lists(_tables(raw.value)[2], texts)[0]
 
     ids.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return df.withColumn(out, F.arrow_udf(ids, T.ArrayType(T.IntegerType()))(F.col(text)))
@@ -349,16 +386,29 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded"
     raw = df.sparkSession.sparkContext.broadcast(_raw(tokenizer))
 
     def texts(rows: pa.Array) -> pa.Array:
-        table = _tables(raw.value)[0].bytes
-        n, out = len(table), []
-        for row in rows:
-            values = row.values.to_pylist() if row.is_valid else []
-            try:
-                joined = b"".join(map(table.__getitem__, values))
-            except (IndexError, TypeError):
-                joined = b"".join(table[i] for i in values if i is not None and 0 <= i < n)
-            out.append(joined.decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        vocabulary = _tables(raw.value)[0]
+        sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        values = rows.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        known = (values >= 0) & (values < len(vocabulary.bytes))
+        return _decoded(vocabulary, np.concatenate([[0], np.cumsum(known)])[ends], values[known])
 
     texts.__annotations__ = {"rows": pa.Array, "return": pa.Array}
     return df.withColumn(out, F.arrow_udf(texts, T.StringType())(F.col(ids)))
+
+
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` plus ids and their text, as ``decode(encode(df))`` in one pass over the texts.
+
+    Chained, the two make the plan encode each text once for either column.
+    """
+    raw = df.sparkSession.sparkContext.broadcast(_raw(tokenizer))
+
+    def both(texts: pa.Array) -> pa.Array:
+        vocabulary, _, encoder = _tables(raw.value)
+        lists, ends, values = _id_lists(encoder, texts)
+        return pa.StructArray.from_arrays([lists, _decoded(vocabulary, ends, values)], ["ids", "decoded"])
+
+    both.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    made = F.arrow_udf(both, "ids array<int>, decoded string")(F.col(text))
+    return with_fields(df, made, {"ids": ids, "decoded": decoded})

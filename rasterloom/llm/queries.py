@@ -89,7 +89,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = bpe.decode(bpe.encode(docs, path).select("doc_id", "ids"), path)
+    made = bpe.round_trip(docs, path)
     return made.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
