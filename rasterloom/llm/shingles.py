@@ -16,7 +16,7 @@ from rasterloom.llm.common import mix64
 
 WORDS = 5
 #: Bytes of text hashed at once; a longer text is hashed alone.
-CHUNK = 2_000_000
+CHUNK = 250_000
 _rng = np.random.default_rng(20_240_514)
 _LETTER = _rng.integers(1, 2**63, 256, np.uint64)
 _LETTER[65:91] = _LETTER[97:123]
@@ -57,7 +57,10 @@ def _chunk(raw: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
         border = np.searchsorted(start, ends)
         for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
             if b - a >= WORDS:
-                yield np.unique(runs[a : b - WORDS + 1])
+                some = np.sort(runs[a : b - WORDS + 1])
+                new = np.ones(len(some), bool)
+                np.not_equal(some[1:], some[:-1], out=new[1:])
+                yield some[new]
             elif b > a:
                 few = (word[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64) + _PLACE[WORDS] * np.uint64(b - a)
                 yield mix64(np.array([few], np.uint64))
