@@ -9,20 +9,23 @@ shingles.  The steps, all over whole texts and without any cap:
    by hash first, frequent ones last.
 2. *Prefixes.*  Linked sets share their first common shingle within a prefix of each.
    A quarter of the set plus one always suffices; as hashes are random, so does a
-   prefix in which a common shingle is missing with probability below 2^-48.  The
-   shorter is taken.  Shingles in the prefixes of two sets or more become blocks; sets
-   without one link with nothing and drop out before any set is moved.
-3. *Blocks.*  Each set goes, whole, to the block of its first shared shingle.  There
-   shingles are hashed into 64 groups, the counts by group index an R-tree, and
-   overlap is bounded by the sum of coordinate minima, against boxes and then against
-   points; what survives is verified on the sets.  Boxes whose members are all in
+   prefix in which a common shingle is missing with probability below exp(-``miss``),
+   by default 2^-48.  The shorter is taken; an infinite ``miss`` takes the sure one.
+   Shingles in the prefixes of two sets or more are the blocks that the tree works on;
+   of blocks with the same members one goes on.
+3. *Points.*  Shingles are hashed into groups, 64 or one for each 4 to 8 shingles; the
+   counts by group, folded to 64, index an R-tree in each block.  Overlap is bounded by
+   the sum of coordinate minima, against boxes, then points, then points in full; sets
+   that the bound lets link with none of their blocks drop out before any set is moved.
+4. *Sets.*  Each set left goes, whole, to the block of its first shared shingle, where
+   the tree finds pairs again and the sets verify them.  Boxes whose members are all in
    the query's component already are passed over, so a group of thousands of near
    copies costs about one verification a member.
 5. *Rounds.*  Blocks that still hold several components, not all compared with each
-   other, go again.  Blocks of more than ``BLOCK`` sets are dealt over several tasks:
-   first members of each component meet, and then whatever is not in the block's
-   largest component meets the whole block, in a grid of tasks of bounded size.
-   After that every pair of every block is in one component or compared.
+   other, go again.  Blocks over one task's load (``BLOCK`` sets or ``WEIGHT`` shingles)
+   are dealt over several: first members of each component meet, and then whatever is
+   not in the block's largest component meets the whole block, in a grid of tasks of
+   bounded size.  After that every pair of every block is in one component or compared.
 
 Defined cases: null and empty texts have no shingles and are their own component;
 rows with a null id take no part (null component); repeated rows link with each
@@ -36,45 +39,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import shingles
-from rasterloom.llm.common import save
+from rasterloom.llm.common import drop, fresh, save
 from rasterloom.llm.graph import components
 
-GROUPS, FAN = 64, 8
+#: Groups of the tree's points (log2), shingles to a group at most, children of a box.
+LOW, PER_GROUP, FAN = 6, 8, 8
 #: Share of sets from which a shingle counts as frequent, and the least count.
 HOT, HOT_LEAST = 0.0005, 64
-#: Sets in one block of one task.
-BLOCK = 256
+#: Sets, and shingles of sets, in one block of one task.
+BLOCK, WEIGHT = 256, 4_000_000
 #: -log of the probability that a prefix misses: 48 binary digits.
 MISS = 48 * math.log(2)
 #: Entries of a task's counter before rare ones are dropped (lossy counting).
-COUNTER = 4_000_000
+COUNTER = 1_000_000
 
 
-def prefix_length(size: int, hot: int) -> int:
+def prefix_length(size: int, hot: int, miss: float = MISS) -> int:
     """Shingles of the prefix, for a set of which ``hot`` shingles are frequent."""
     sure = size // 4 + 1
     rare = size - hot
-    if 4 * rare <= size:
+    if 4 * rare <= size or math.isinf(miss):
         return sure
-    return min(sure, math.ceil(MISS / math.log(4 * rare / size)))
+    return min(sure, math.ceil(miss / math.log(4 * rare / size)))
 
 
 def group_counts(items: np.ndarray) -> np.ndarray:
-    """A set's point: how many of its shingles each group has."""
-    return np.bincount((items >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    """A set's point: how many of its shingles each group has.
+
+    Groups are the leading bits of a hash, so points fold onto fewer groups.
+    """
+    bits = max(LOW, (max(0, len(items) - 1) // PER_GROUP).bit_length())
+    return np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def fold(point: np.ndarray, groups: int) -> np.ndarray:
+    return point.reshape(groups, -1).sum(axis=1)
 
 
-def pack(counts: np.ndarray) -> bytes:
-    most = counts.max(initial=0)
-    return counts.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32).tobytes()
+def pack(point: np.ndarray) -> bytes:
+    most = point.max(initial=0)
+    wide = 1 if most < 256 else 2 if most < 65536 else 4
+    return bytes([wide]) + point.astype(f"u{wide}").tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"u{len(raw) // GROUPS}").astype(np.int32)
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1)
 
 
 class _Counter:
@@ -133,7 +146,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "doc long, size long, sid long, counts binary, token long, n long")
 
 
-def _prefixes(docs: DataFrame, hot) -> DataFrame:
+def _prefixes(docs: DataFrame, hot, miss: float) -> DataFrame:
     """(token, sid, pos): the prefix of each distinct set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +162,7 @@ def _prefixes(docs: DataFrame, hot) -> DataFrame:
                 is_hot = np.zeros(len(items), bool)
                 inside = at < len(frequent)
                 is_hot[inside] = frequent[at[inside]] == items[inside]
-                k = prefix_length(len(items), int(is_hot.sum()))
+                k = prefix_length(len(items), int(is_hot.sum()), miss)
                 rare = items[~is_hot][:k]
                 tokens += [rare, items[is_hot][: k - len(rare)]]
                 sids.append(np.full(k, sid))
@@ -178,11 +191,12 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 class CountTree:
-    """R-tree over count vectors of sets that come sorted by size."""
+    """R-tree over the points of sets that come sorted by size."""
 
-    def __init__(self, points: np.ndarray):
-        self.sizes = points.sum(axis=1)
-        self.levels, self.least = [points], [self.sizes]
+    def __init__(self, points: list[np.ndarray]):
+        low = np.stack([fold(p, 1 << LOW) for p in points]).astype(np.int32)
+        self.points, self.sizes = points, low.sum(axis=1)
+        self.levels, self.least = [low], [self.sizes]
         while len(self.levels[-1]) > FAN:
             starts = np.arange(0, len(self.levels[-1]), FAN)
             self.levels.append(np.maximum.reduceat(self.levels[-1], starts))
@@ -208,8 +222,20 @@ class CountTree:
             if height:
                 nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
                 nodes = nodes[nodes < len(self.levels[height - 1])]
+        if len(self.points[i]) > 1 << LOW:
+            bound = np.array([self._bound(i, j) for j in nodes.tolist()])
+            near = 7 * bound >= 3 * (size + self.sizes[nodes])
+            nodes, bound = nodes[near], bound[near]
         return nodes[np.argsort(-bound, kind="stable")]
 
+    def _bound(self, i: int, j: int) -> int:
+        """The bound over all groups that both points have."""
+        a, b = self.points[i], self.points[j]
+        if len(a) != len(b):
+            groups = min(len(a), len(b))
+            a, b = fold(a, groups), fold(b, groups)
+        return int(np.minimum(a, b).sum(dtype=np.int64))
+
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """The contract's condition, on whole sets."""
@@ -224,7 +250,7 @@ def link_block(sids: np.ndarray, sets: list[np.ndarray], comps: np.ndarray, seen
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sids, comps, seen, sets = sids[order], comps[order].copy(), seen[order], [sets[i] for i in order]
-    tree, gained = CountTree(np.stack([group_counts(x) for x in sets]).astype(np.int32)), np.zeros(len(sets), bool)
+    tree, gained = CountTree([group_counts(x) for x in sets]), np.zeros(len(sets), bool)
     for i in range(1, len(sets)):
         other = (comps != comps[i]) & ((seen != seen[i]) | (seen == 0))
         if not other[:i].any():
@@ -240,36 +266,40 @@ def link_block(sids: np.ndarray, sets: list[np.ndarray], comps: np.ndarray, seen
     return out
 
 
+NEAR = "token long, sid long, pos int, size long"
+
+
 def _near(rows: DataFrame) -> DataFrame:
-    """(token, sid) of the sets that the bound lets link with another of their block."""
+    """(token, sid, pos, size) of the sets that the bound lets link with another of their block."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
+        key, held = None, []
 
         def solve() -> pa.RecordBatch:
-            kept = []
+            points = [unpack(x) for *_, x in held]
+            sizes = np.array([p.sum(dtype=np.int64) for p in points], np.int64)
+            order, near = np.argsort(sizes, kind="stable"), np.zeros(len(held), bool)
             if len(held) > 1:
-                sids, points = np.array(list(held)), np.stack([unpack(x) for x in held.values()])
-                order = np.argsort(points.sum(axis=1), kind="stable")
-                tree, near = CountTree(points[order]), np.zeros(len(sids), bool)
-                every = np.ones(len(sids), bool)
-                for i in range(1, len(sids)):
+                tree, every = CountTree([points[i] for i in order]), np.ones(len(held), bool)
+                for i in range(1, len(held)):
                     found = tree.search(i, every)
                     if len(found):
                         near[i] = near[found] = True
-                kept = sids[order][near]
-            return pa.RecordBatch.from_arrays([pa.array([key] * len(kept), pa.int64()), pa.array(kept, pa.int64())], ["token", "sid"])
+            kept = order[near]
+            sids, places = (np.array([h[c] for h in held], np.int64)[kept] for c in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(kept), pa.int64()), pa.array(sids), pa.array(places, pa.int32()), pa.array(sizes[kept])], ["token", "sid", "pos", "size"])
 
         for batch in batches:
-            for token, sid, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for token, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != token:
                     if len(held) > 1:
                         yield solve()
-                    key, held = token, {}
-                held[sid] = counts
-        yield solve()
+                    key, held = token, []
+                held.append(row)
+        if len(held) > 1:
+            yield solve()
 
-    return rows.select("token", "sid", "counts").repartition("token").sortWithinPartitions("token", "sid").mapInArrow(scan, "token long, sid long")
+    return rows.select("token", "sid", "pos", "counts").repartition("token").sortWithinPartitions("token", "sid").mapInArrow(scan, NEAR)
 
 
 def _link(rows: DataFrame) -> DataFrame:
@@ -300,25 +330,35 @@ def _link(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(scan, "a long, b long")
 
 
-def _cells(k, of: str = "sid"):
-    """The number of a row's cell, of as many as ``k`` rows need."""
-    return F.pmod(F.xxhash64(of, F.lit(11)), F.ceil(k / F.lit(BLOCK)))
+def _cell(load: Column, of: str = "sid") -> Column:
+    """The number of a row's cell, of as many as the block's ``load`` needs."""
+    return F.pmod(F.xxhash64(of, F.lit(11)), F.ceil(load))
 
 
-def links(docs: DataFrame, signed: DataFrame, hot) -> DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(token, k): of the tokens with the same members, in (token, sid) rows, one with its number of members."""
+    marks = rows.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(5))).alias("y"))
+    return marks.groupBy("k", "x", "y").agg(F.min("token").alias("token")).filter("k > 1").select("token", "k")
+
+
+def links(docs: DataFrame, signed: DataFrame, hot, miss: float = MISS) -> DataFrame:
     """(node, comp) over the ids of sets that link with another set."""
-    prefixes = save(_prefixes(docs, hot), "op6-prefixes")
-    shared = prefixes.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("k")).filter("low <> high").select("token", "k")
-    held = save(prefixes.join(shared, "token"), "op6-held")
-    points = signed.groupBy("sid").agg(F.first("counts").alias("counts"))
-    near = _near(held.filter(F.col("k") <= BLOCK).join(points, "sid")).unionByName(held.filter(F.col("k") > BLOCK).select("token", "sid").distinct())
+    prefixes = save(_prefixes(docs, hot, miss), "op6-prefixes")
+    shared = prefixes.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high").select("token")
+    shared = save(shared, "op6-shared")
+    held = prefixes.join(shared, "token").repartition("token", "sid").dropDuplicates(["token", "sid"])
+    held = save(held, "op6-held", [prefixes, shared])
+    blocks = save(_blocks(held), "op6-blocks")
+    points = signed.groupBy("sid").agg(F.first("counts").alias("counts"), F.first("size").alias("size"))
+    placed = save(held.join(blocks, "token"), "op6-placed", [held, blocks]).join(points, "sid")
+    near = _near(placed.filter(F.col("k") <= BLOCK)).unionByName(placed.filter(F.col("k") > BLOCK).select("token", "sid", "pos", "size"))
     near = save(near, "op6-near")
-    marks = near.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(5))).alias("y"))
-    marks = marks.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token", "k")
-    places = prefixes.select("token", "sid", "pos").distinct()
-    held = save(near.join(marks, "token").join(places, ["token", "sid"]), "op6-blocks")
+    blocks = save(_blocks(near).select("token"), "op6-blocks")
+    load = F.lit(1 / BLOCK) + F.col("size") / F.lit(WEIGHT)
+    near = near.join(blocks, "token").withColumn("load", load).drop("size")
+    held = save(near.join(near.groupBy("token").agg(F.sum("load").alias("k")), "token"), "op6-members", [near, blocks])
     first = held.groupBy("sid").agg(F.min_by(F.struct("token", "k"), "pos").alias("first")).select("sid", "first.*")
-    first = first.withColumn("cell", _cells(F.col("k"))).withColumn("seen", F.xxhash64("token", "cell").bitwiseOR(F.lit(1).cast("long")))
+    first = first.withColumn("cell", _cell(F.col("k"))).withColumn("seen", F.xxhash64("token", "cell").bitwiseOR(F.lit(1).cast("long")))
     first = save(first, "op6-first")
     wanted = signed.filter("size > 0").groupBy("sid").agg(F.min("doc").alias("doc")).join(first, "sid")
     dealt = save(_sets(docs.join(wanted, "doc").select("sid", "token", "cell", "seen", "text")), "op6-sets")
@@ -329,38 +369,45 @@ def links(docs: DataFrame, signed: DataFrame, hot) -> DataFrame:
     comps = found.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
     def open_blocks(comps: DataFrame) -> DataFrame:
-        """(token, k, sid, comp, seen) of blocks whose pairs aren't all settled."""
+        """(token, k, load, sid, comp, seen) of blocks whose pairs aren't all settled."""
         known = first.select("sid", "seen").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        members = held.select("token", "k", "sid").join(known, "sid")
+        members = save(held.select("token", "k", "load", "sid").join(known, "sid"), "op6-known")
         mixed = members.groupBy("token").agg(*(f("comp").alias(n + "_comp") for n, f in (("low", F.min), ("high", F.max))), *(f("seen").alias(n + "_seen") for n, f in (("low", F.min), ("high", F.max))))
-        return members.join(mixed.filter("low_comp <> high_comp and low_seen <> high_seen").select("token"), "token")
-
-    again = save(open_blocks(comps), "op6-open")
-    few = again.filter(F.col("k") <= BLOCK).withColumn("cell", F.lit(0).cast("long"))
-    large = again.filter(F.col("k") > BLOCK)
-    mark = F.xxhash64("sid", "token")  # other members for other shingles
-    ends = large.groupBy("token", "comp").agg(F.min_by("sid", mark).alias("low"), F.max_by("sid", mark).alias("high"))
-    parts = ends.groupBy("token").agg((2 * F.count("*")).alias("k"))
-    ends = ends.select("token", "comp", F.explode(F.array_distinct(F.array("low", "high"))).alias("sid")).join(parts, "token").withColumn("cell", _cells(F.col("k")))
+        mixed = save(mixed.filter("low_comp <> high_comp and low_seen <> high_seen").select("token"), "op6-mixed")
+        return save(members.join(mixed, "token"), "op6-open", [members, mixed])
+
+    again = open_blocks(comps)
+    few = again.filter("k <= 1").withColumn("cell", F.lit(0).cast("long"))
+    large = again.filter("k > 1")
+    mark, who = F.xxhash64("sid", "token"), F.struct("sid", "load")  # other members for other shingles
+    ends = large.groupBy("token", "comp").agg(F.min_by(who, mark).alias("low"), F.max_by(who, mark).alias("high"))
+    ends = save(ends.select("token", "comp", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).select("token", "comp", "end.*"), "op6-ends")
+    parts = save(ends.groupBy("token").agg(F.sum("load").alias("k")), "op6-parts")
+    ends = ends.join(parts, "token").withColumn("cell", _cell(F.col("k")))
     met = few.select("token", "cell", "sid", "comp", "seen").unionByName(ends.select("token", "cell", "sid", "comp", F.lit(0).cast("long").alias("seen")))
-    found = found.unionByName(save(_link(met.join(sets, "sid")), "op6-links"))
+    found = found.unionByName(save(_link(met.join(sets, "sid")), "op6-links", [again]))
     comps = components(found)
 
-    rest = save(open_blocks(comps).filter(F.col("k") > BLOCK), "op6-open")
-    if rest.isEmpty():
-        return comps
-    counts = rest.groupBy("token", "comp").agg(F.count("*").alias("n"))
-    main = counts.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    grid = rest.join(main, "token").withColumn("across", F.ceil(F.col("all") / BLOCK)).withColumn("down", F.ceil((F.col("all") - F.col("most")) / BLOCK))
-    i, j = F.pmod(F.xxhash64("sid", F.lit(11)), F.col("across")), F.pmod(F.xxhash64("sid", F.lit(13)), F.col("down"))
-    home = grid.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda d: i * F.col("down") + d)))
-    guest = grid.filter("comp <> main").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda a: a * F.col("down") + j)))
-    met = home.unionByName(guest).select("token", "cell", "sid", "comp", F.lit(0).cast("long").alias("seen"))
-    return components(found.unionByName(save(_link(met.join(sets, "sid")), "op6-links")))
-
-
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_shingles, component_id): the smallest id reachable by links, per row."""
+    rest = open_blocks(comps).filter("k > 1")
+    if not rest.isEmpty():
+        counts = rest.groupBy("token", "comp").agg(F.sum("load").alias("n"))
+        main = counts.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        main = save(main, "op6-main")
+        grid = rest.join(main, "token").withColumn("across", F.ceil(F.col("all"))).withColumn("down", F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("most"))))
+        i, j = F.pmod(F.xxhash64("sid", F.lit(11)), F.col("across")), F.pmod(F.xxhash64("sid", F.lit(13)), F.col("down"))
+        home = grid.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("down") - 1), lambda d: i * F.col("down") + d)))
+        guest = grid.filter("comp <> main").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("across") - 1), lambda a: a * F.col("down") + j)))
+        met = home.unionByName(guest).select("token", "cell", "sid", "comp", F.lit(0).cast("long").alias("seen"))
+        comps = components(found.unionByName(save(_link(met.join(sets, "sid")), "op6-links")))
+    drop(dealt, held, first)
+    return comps
+
+
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", miss: float = MISS) -> DataFrame:
+    """(doc, n_shingles, component_id): the smallest id reachable by links, per row.
+
+    ``miss``: see the prefixes above; infinite for prefixes that can't miss.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
     made = save(_signatures(rows), "op6-signed")
@@ -369,7 +416,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     n = signed.count()
     counts = made.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(HOT_LEAST, HOT * n))
     hot = spark.sparkContext.broadcast(np.sort(counts.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)))
-    comps = links(rows.filter("doc is not null"), named, hot)
+    comps = links(rows.filter("doc is not null"), named, hot, miss)
 
     least = named.filter("size > 0").groupBy("sid").agg(F.min("doc").alias("low"))
     # one id with several texts joins their sets
@@ -391,5 +438,6 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     Texts without shingles all stay, as do rows with a null id; repeated rows of the
     smallest id stay too.
     """
-    found = near_duplicates(docs, doc, text).filter(F.col("component_id") < F.col(doc)).select(F.col(doc).alias("__doc")).distinct()
-    return docs.join(found, F.col(doc) == F.col("__doc"), "left_anti")
+    gone = fresh("__doc", docs)
+    found = near_duplicates(docs, doc, text).filter(F.col("component_id") < F.col(doc)).select(F.col(doc).alias(gone)).distinct()
+    return docs.join(found, F.col(doc) == F.col(gone), "left_anti")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, chat, decontam, jaccard, lines, pii, quality, queries, suffix, topk
+from rasterloom.llm import bpe, chat, decontam, graph, jaccard, lines, pii, quality, queries, suffix, topk
 
 DOCS = "doc_id long, text string, source string, n long"
 
@@ -342,9 +342,20 @@ def near(rows):
     return sorted((doc, len(s), low[find(i)]) for i, (doc, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("block", [256, 5])
-def test_near_duplicates_brute_force(spark, monkeypatch, block):
+def test_components_by_stars_and_in_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 130)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {tuple(r) for r in graph.components(df).collect()}
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    assert {tuple(r) for r in graph.components(df).collect()} == one
+    assert {c for n, c in one if n >= 100} == {100}
+
+
+@pytest.mark.parametrize("block, weight, miss", [(256, 10**6, jaccard.MISS), (5, 60, float("inf"))])
+def test_near_duplicates_brute_force(spark, monkeypatch, block, weight, miss):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "WEIGHT", weight)
     rng = random.Random(11)
     pool = [f"v{k}" for k in range(400)]
     rows = []
@@ -357,7 +368,7 @@ def test_near_duplicates_brute_force(spark, monkeypatch, block):
             rows.append((len(rows), ("  " if g % 2 else "\t").join(w).title()))
     rows += [(900, None), (901, ""), (902, "one two"), (903, "ONE  two")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs).collect())
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs, miss=miss).collect())
     assert got == near(rows)
     kept = {r.doc_id for r in jaccard.keep_one(docs).collect()}
     assert kept == {doc for doc, _, low in got if doc == low}
@@ -369,15 +380,33 @@ def test_near_duplicates_edges(spark, odd):
     assert jaccard.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_bound_never_hides_a_link():
+@pytest.mark.parametrize("size", [80, 600, 3000])
+def test_bound_never_hides_a_link(size):
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 2**63, 80, np.uint64)) for _ in range(30)]
-    sets += [np.unique(np.concatenate([s[: 70 + k % 10], rng.integers(0, 2**63, 5, np.uint64)])) for k, s in enumerate(sets)]
+    sets = [np.unique(rng.integers(0, 2**64 - 1, size, np.uint64)) for _ in range(30)]
+    sets += [np.unique(np.concatenate([s[: size * (85 + k % 13) // 100], rng.integers(0, 2**64 - 1, size // 12, np.uint64)])) for k, s in enumerate(sets)]
     sets.sort(key=len)
-    tree = jaccard.CountTree(np.stack([jaccard.group_counts(s) for s in sets]).astype(np.int32))
+    tree = jaccard.CountTree([jaccard.unpack(jaccard.pack(jaccard.group_counts(s))) for s in sets])
     every = np.ones(len(sets), bool)
+    links = 0
     for i in range(len(sets)):
-        assert {j for j in range(i) if jaccard.linked(sets[i], sets[j])} <= set(tree.search(i, every).tolist())
+        expected = {j for j in range(i) if jaccard.linked(sets[i], sets[j])}
+        links += len(expected)
+        assert expected <= set(tree.search(i, every).tolist())
+    assert links
+
+
+@pytest.mark.parametrize("size", [200, 1000, 3000, 20_000])
+def test_bound_rejects_unrelated_sets(size):
+    rng = np.random.default_rng(2)
+    tree = jaccard.CountTree([jaccard.group_counts(np.unique(rng.integers(0, 2**64 - 1, size, np.uint64))) for _ in range(60)])
+    every = np.ones(60, bool)
+    assert sum(len(tree.search(i, every)) for i in range(60)) < 0.05 * 60 * 59 / 2
+
+
+def test_keep_one_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other words here", "z")], "doc_id long, text string, __doc string")
+    assert sorted(tuple(r) for r in jaccard.keep_one(docs).select("doc_id", "__doc").collect()) == [(1, "x"), (3, "z")]
 
 
 # --- op 7
