@@ -48,7 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    made = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    made = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
