@@ -3,19 +3,47 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(df: DataFrame) -> str:
-    """``spark.checkpoint.dir`` of the session, else of its context, else a local folder."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a local one in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (where or "file:///tmp/checkpoints").rstrip("/")
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` once and reads it back."""
-    path = f"{shared_dir(df)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's setting that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, label: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
+    """Cut the lineage: write ``df`` into the shared folder and read it back.
+
+    The write's shuffle files go as soon as it ends, and so do ``spent``: tables from
+    here that nothing reads any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    drop(*spent)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*saved: DataFrame) -> None:
+    """Delete tables made by ``save``."""
+    for df in saved:
+        spark = df.sparkSession
+        within = shared_dir(spark).split("://")[-1].split(":")[-1]
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            if within in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
