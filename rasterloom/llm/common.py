@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import uuid
-from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.storage import drop, save  # noqa: F401
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Documents in one Arrow batch.  Bounds what a Python worker holds at once.
@@ -28,47 +27,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a local one in local mode only."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (where or "file:///tmp/checkpoints").rstrip("/")
-
-
-def save(df: DataFrame, label: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
-    """Cut the lineage: write ``df`` into the shared folder and read it back.
-
-    ``spent`` are tables from here that nothing reads any more: they are deleted.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    drop(*spent)
-    collect_spent(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(*saved: DataFrame) -> None:
-    """Delete tables made by ``save``."""
-    for df in saved:
-        spark = df.sparkSession
-        within = shared_dir(spark).split("://")[-1].split(":")[-1]
-        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-            if within in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def collect_spent(spark: SparkSession) -> None:
-    """Lets Spark's cleaner see at once which shuffles and broadcasts nothing refers to.
-
-    Only a hint: without it they go when the driver next collects garbage.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, lengthened until none of the frames has a column of that name."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -14,7 +14,7 @@ smallest position), so no passage vanishes from the corpus.
 Defined cases: lines compare without blanks at their ends; blank lines are never
 boilerplate; a null text counts as empty; a null site is one site of its own;
 documents with a null id are kept whole; repeated rows share one decision; all
-other columns pass through.
+other columns pass through, but for those of the output's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import save
+from rasterloom.llm.common import fresh, save
 
 #: What is stripped from a line's ends, and the sketch size (log2).
 BLANKS, LOG_K = " \t\r", 8
@@ -50,7 +50,8 @@ def spread_lines(df: DataFrame, min_sites: int = 10, doc: str = "doc_id", site:
     exact = near.groupBy("h1", "h2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites).select("h1", "h2")
     sure = wide.filter(F.col("about") >= 2 * min_sites).select("h1", "h2")
     first = held.filter("doc is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "text_key")).alias("first"))
-    gone = held.join(exact.unionByName(sure), ["h1", "h2"]).join(first, ["h1", "h2"])
+    decided = save(exact.unionByName(sure).join(first, ["h1", "h2"]), "op3-decided", [wide])
+    gone = held.join(decided, ["h1", "h2"])
     return gone.filter(F.struct("doc", "pos", "text_key") != F.col("first")).select("doc", "text_key", "pos")
 
 
@@ -60,11 +61,19 @@ def dedup_lines(df: DataFrame, min_sites: int = 10, doc: str = "doc_id", site: s
     ``removed`` names an optional column for the number of lines removed.
     """
     gone = spread_lines(df, min_sites, doc, site, text)
-    gone = gone.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("__pos")).withColumnsRenamed({"doc": "__doc", "text_key": "__key"})
-    keyed = df.withColumn("__k", F.xxhash64(F.col(text)))
-    both = keyed.join(gone, (F.col(doc) == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left")
-    kept = F.array_join(F.filter(_lines(F.col(text)), lambda x, i: ~F.array_contains(F.col("__pos"), i)), "\n")
-    both = both.withColumn(out, F.when(F.col("__pos").isNull(), F.col(text)).otherwise(kept))
+    names = {n: fresh(f"__{n}", df) for n in ("doc", "text_key", "pos", "hash")}
+    gone = gone.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("pos")).withColumnsRenamed(names)
+    keyed = df.withColumn(names["hash"], F.xxhash64(F.col(text)))
+    both = keyed.join(gone, (F.col(doc) == F.col(names["doc"])) & (F.col(names["hash"]) == F.col(names["text_key"])), "left")
+    pos = F.col(names["pos"])
+
+    def without(lines: Column) -> Column:
+        """The lines at the places that stay; each step is linear in their number."""
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), pos)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    kept = F.transform(F.array(_lines(F.col(text))), without)[0]  # binds the lines, so that they are split once
+    made = {out: F.when(pos.isNull(), F.col(text)).otherwise(kept)}
     if removed:
-        both = both.withColumn(removed, F.greatest(F.size("__pos"), F.lit(0)).cast("long"))
-    return both.drop("__k", "__doc", "__key", "__pos")
+        made[removed] = F.greatest(F.size(pos), F.lit(0)).cast("long")
+    return both.withColumns(made).drop(*names.values())

@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import fresh, with_fields
+
 ROUNDS = 10
 FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), 73049
 
@@ -297,10 +299,11 @@ def pseudonymize(df: DataFrame, key: bytes, text: str = "text", out: str = "text
         return pa.array(rows, kind)
 
     swap.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    made = df.withColumn("__pii", F.arrow_udf(swap, f"text string, spans {SPANS}")(F.col(text)))
-    return made.withColumn(out, F.col("__pii.text")).withColumn(spans, F.col("__pii.spans")).drop("__pii")
+    made = F.arrow_udf(swap, f"text string, spans {SPANS}")(F.col(text))
+    return with_fields(df, made, {"text": out, "spans": spans})
 
 
 def restore(df: DataFrame, key: bytes, text: str = "text", out: str = "text") -> DataFrame:
     """Inverts ``pseudonymize`` with the same key."""
-    return pseudonymize(df, key, text, out, "__spans", back=True).drop("__spans")
+    spans = fresh("__spans", df)
+    return pseudonymize(df, key, text, out, spans, back=True).drop(spans)

@@ -8,8 +8,8 @@ once in numpy.
 
 Defined cases: null and empty texts have all-zero statistics and are scored like
 any other; labels that are null, or whose document is missing, aren't learnt; of
-several labels of one document the lowest counts; without labels every score is
-0.5, and with one class only its rate; extra columns pass through.
+several labels of one document the lowest counts, of several texts the least; without labels every score is
+0.5, and with one class only its rate; extra columns pass through, but for one of the output's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, doc: str = "
     known = known.filter(~held_out(F.col("doc"))).groupBy("doc").agg(F.min("label").alias("label"))
     some = known.orderBy(F.xxhash64("doc"), "doc").limit(max_rows)
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(F.broadcast(some), "doc")
+    texts = texts.groupBy("doc", "label").agg(F.min("text").alias("text"))  # repeated rows count once
     got = with_features(texts).select("doc", "label", "features").orderBy("doc", "features").toPandas()
     x = np.array(got["features"].tolist(), float).reshape(-1, len(NAMES))
     return fit_arrays(x, (got["label"].to_numpy() > 0).astype(float))

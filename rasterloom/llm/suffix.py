@@ -329,11 +329,11 @@ def _gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return raw[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-CUT = "anchor long, cell long, content long, sid long, doc long, start int, bytes binary"
+CUT = "anchor long, cell long, sid long, doc long, start int, bytes binary"
 
 
 def _cut_out(rows: DataFrame) -> DataFrame:
-    """(anchor, cell, content, sid, doc, start, bytes) of the segments wanted of a text."""
+    """(anchor, cell, sid, doc, start, bytes) of the segments wanted of a text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,12 +342,12 @@ def _cut_out(rows: DataFrame) -> DataFrame:
                 part = lists.slice(first, len(borders) - 1)
                 text = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
                 held = part.flatten()
-                get = {n: held.field(n).to_numpy() for n in ("anchor", "cell", "content", "start", "size")}
+                get = {n: held.field(n).to_numpy() for n in ("anchor", "cell", "start", "size")}
                 sizes = get["size"].astype(np.int64)
                 taken = _gather(raw, borders[text] + get["start"], sizes)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 cut = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(taken)])
-                columns = [pa.array(get[n]) for n in ("anchor", "cell", "content")] + [pa.array(sids[first + text]), pa.array(docs[first + text]), pa.array(get["start"], pa.int32()), cut]
+                columns = [pa.array(get[n]) for n in ("anchor", "cell")] + [pa.array(sids[first + text]), pa.array(docs[first + text]), pa.array(get["start"], pa.int32()), cut]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CUT.split(", ")])
 
     return rows.mapInArrow(scan, CUT)
@@ -394,9 +394,9 @@ def _compare(rows: DataFrame) -> DataFrame:
     """
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        pieces = [h[6] for h in held]
+        pieces = [h[5] for h in held]
         piece, offset, same = string_classes(pieces)
-        anchors, cells, sids, docs, starts = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 3, 4, 5))
+        anchors, cells, sids, docs, starts = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2, 3, 4))
         doc = docs[piece]
         owner = np.minimum.reduceat(doc, np.flatnonzero(_starts(same)))[same] if len(piece) else doc
         split = cells[piece] >= 0
@@ -426,11 +426,11 @@ def _compare(rows: DataFrame) -> DataFrame:
                     held, size = [], 0
                 key = row[:2]
                 held.append(row)
-                size += len(row[6])
+                size += len(row[5])
         if held:
             yield solve(held)
 
-    return rows.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "content").mapInArrow(scan, FOUND)
+    return rows.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(scan, FOUND)
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -454,9 +454,9 @@ def spans(docs: DataFrame) -> DataFrame:
     told = contents.join(several, "anchor", "left").select("anchor", "content", "owner", cell.cast("long").alias("cell"))
     marked = places.join(told, ["anchor", "content"]).filter("doc > owner or cell is not null")
     marked = marked.withColumn("cell", F.when(F.col("doc") == F.col("owner"), F.col("cell")))
-    marked = save(marked.drop("owner"), "op10-marked", [places, contents])
+    marked = save(marked.drop("owner", "content"), "op10-marked", [places, contents])
     later = marked.filter("cell is null").select("doc", "sid", "start", "size")
-    one = marked.filter("cell is not null").groupBy("doc", "sid").agg(F.collect_list(F.struct("anchor", "cell", "content", "start", "size")).alias("wanted"))
+    one = marked.filter("cell is not null").groupBy("doc", "sid").agg(F.collect_list(F.struct("anchor", "cell", "start", "size")).alias("wanted"))
     cut = _cut_out(active.select("sid", "doc", "text").join(one, ["doc", "sid"]))
     found = save(_compare(cut), "op10-strings", [active])
     across = found.filter("split = 1")

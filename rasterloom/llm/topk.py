@@ -14,20 +14,22 @@ more queries mean more rounds, never a larger broadcast.
 Defined cases: vectors that are null, or hold null or non-finite components, and
 rows with a null id take no part; vectors of another length than the query's don't
 meet it; a query meets every row but those with its own id; repeated rows are
-repeated candidates; fewer than k candidates give as many ranks; scores are 64-bit
-integers and exact below 2^63.
+repeated candidates; fewer than k candidates give as many ranks; scores are exact, and
+one that doesn't fit in 64 bits is an error.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import save
+
 BINS = 64
 #: Candidates in one matrix product.
 CHUNK = 2048
@@ -55,14 +57,21 @@ def _vectors(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np
         yield ids[at], quantize(flat[starts[at][:, None] + np.arange(size)], scale)
 
 
-def _product(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products: by float64 where those are exact, else by int64."""
+def _product(queries: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Integer inner products (of ``own`` pairs anything): by float64 where those are exact, else by int64 or Python's integers."""
     if not rows.shape[1]:
         return np.zeros((len(queries), len(rows)), np.int64)
     most = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * rows.shape[1]
     if most < 2**53:
         return (queries @ rows.T).astype(np.int64)
-    return queries.astype(np.int64) @ rows.astype(np.int64).T
+    if most < 2**63:
+        return queries.astype(np.int64) @ rows.astype(np.int64).T
+    whole = [[[int(x) for x in row] for row in side.tolist()] for side in (queries, rows)]
+    scores = np.array([[sum(map(int.__mul__, a, b)) for b in whole[1]] for a in whole[0]], object).reshape(len(queries), len(rows))
+    scores[own] = 0
+    if scores.size and max(abs(scores.min()), abs(scores.max())) >= 2**63:
+        raise OverflowError("a score doesn't fit in 64 bits")
+    return scores.astype(np.int64)
 
 
 class Block:
@@ -78,7 +87,8 @@ class Block:
                 if rows.shape[1] == self.vectors.shape[1]:
                     for i in range(0, len(ids), CHUNK):
                         part = ids[i : i + CHUNK]
-                        yield part, _product(self.vectors, rows[i : i + CHUNK]), self.ids[:, None] == part
+                        own = self.ids[:, None] == part
+                        yield part, _product(self.vectors, rows[i : i + CHUNK], own), own
 
 
 def _ranges(rows: DataFrame, block) -> DataFrame:
@@ -105,7 +115,7 @@ def _histogram(rows: DataFrame, block, low: np.ndarray, high: np.ndarray, width:
         counts = np.zeros((len(b.ids), BINS), np.int64)
         base = np.arange(len(b.ids))[:, None] * BINS
         for _, s, own in b.scores(batches):
-            at = (s - low[:, None]) // width[:, None]
+            at = ((s - low[:, None]).view(np.uint64) // width[:, None]).astype(np.int64)  # a range may take all 64 bits
             inside = (s >= low[:, None]) & (s <= high[:, None]) & ~own
             counts += np.bincount((base + at)[inside], minlength=counts.size).reshape(counts.shape)
         q, bins = np.nonzero(counts)
@@ -142,7 +152,7 @@ def _select(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, scale: int, k
     for r in _ranges(rows, block).collect():
         low[r.q], high[r.q], need[r.q] = r.low, r.high, min(k, r.n)
     while True:
-        width = (high - low) // BINS + 1
+        width = (high - low).view(np.uint64) // np.uint64(BINS) + np.uint64(1)
         open_ = (need > 0) & (high > low)
         if not open_.any():
             break
@@ -150,8 +160,8 @@ def _select(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, scale: int, k
         needs = F.broadcast(rows.sparkSession.createDataFrame([(int(q), int(need[q])) for q in np.flatnonzero(open_)], "q long, need long"))
         sums = _histogram(rows, block, low, high, width).join(needs, "q").withColumn("upto", F.sum("n").over(above))
         for r in sums.filter("upto >= need and upto - n < need").select("q", "bin", F.expr("need - (upto - n)").alias("left")).collect():
-            low[r.q] += r.bin * width[r.q]
-            high[r.q], need[r.q] = min(high[r.q], low[r.q] + width[r.q] - 1), r.left
+            first = int(low[r.q]) + r.bin * int(width[r.q])
+            low[r.q], high[r.q], need[r.q] = first, min(int(high[r.q]), first + int(width[r.q]) - 1), r.left
     found = _best(rows, block, low, k)
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
@@ -160,15 +170,11 @@ def _select(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, scale: int, k
 def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, block: int = 2048, vec: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the rows whose id ``every`` divides."""
     rows = _usable(df, vec, embedding)
-    asked = rows.filter(F.col("vec_id") % every == 0).distinct()
-    sizes = {r["size"]: r["n"] for r in asked.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).collect()}
+    asked = save(rows.filter(F.col("vec_id") % every == 0).distinct().withColumn("size", F.size("embedding")), "op8-queries")
     out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    for size, n in sorted(sizes.items()):
-        blocks = math.ceil(n / block)
-        for b in range(blocks):
-            mine = asked.filter((F.size("embedding") == size) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).collect()
-            if mine:
-                mine.sort()
-                vectors = quantize(np.array([r.embedding for r in mine], float).reshape(len(mine), size), scale)
-                out = out.unionByName(_select(rows, np.array([r.vec_id for r in mine], np.int64), vectors, scale, k))
+    ordered = asked.orderBy("size", "vec_id", "embedding").toLocalIterator()
+    for size, same in groupby(ordered, key=lambda r: r["size"]):
+        while mine := list(islice(same, block)):
+            vectors = quantize(np.array([r.embedding for r in mine], float).reshape(len(mine), size), scale)
+            out = out.unionByName(_select(rows, np.array([r.vec_id for r in mine], np.int64), vectors, scale, k))
     return out
