@@ -55,23 +55,32 @@ _BYTE = _rng.integers(1, 2**63, 256, np.uint64)
 
 def _words(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as one integer in their order; zeros past the end."""
-    wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | wide[k : k + len(text)]
+    out = np.concatenate([text, np.zeros(7, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
+        out = (out[:-k] << np.uint64(8 * k)) | out[k:]
     return out
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def suffix_array(text: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
     """Suffix array of bytes by the difference cover {1, 2} modulo 3.
 
     Symbols are the ranks of 16-byte prefixes, which order suffixes as bytes do, so
-    the first names cover 48 bytes and few levels of recursion follow.
+    the first names cover 48 bytes and few levels of recursion follow.  The bytes at
+    ``ends`` (ascending, the last byte among them) close pieces and count as different
+    from each other, by place, so that no comparison runs past a piece.
     """
     n = len(text)
-    half = np.unique(_words(text), return_inverse=True)[1] + 1
+    words, place = _words(text), np.arange(n)
+    if ends is not None:
+        left = np.repeat(ends, np.diff(ends, prepend=-1)) - place
+        past = (8 * np.maximum(7 - left, 0)).astype(np.uint64)
+        words = words >> past << past
+    half = np.unique(words, return_inverse=True)[1] + 1
     later = np.concatenate([half[8:], np.zeros(min(8, n), np.int64)])
-    return _order(np.unique(half * (n + 2) + later, return_inverse=True)[1] + 1, 16)
+    key = half * (n + 2) + later
+    if ends is not None:
+        key = np.where(left < 8, half * (n + 2), key) * (n + 1) + np.where(left < 16, place + 1, 0)
+    return _order(np.unique(key, return_inverse=True)[1] + 1, 16)
 
 
 def _order(text: np.ndarray, step: int) -> np.ndarray:
@@ -95,7 +104,7 @@ def _order(text: np.ndarray, step: int) -> np.ndarray:
     size = len(sample) + 1
     one, two = order[order % 3 == 1], order[order % 3 == 2]
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(t[rest] * size + rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort(t[rest] * size + rank[rest + 1])]
     # a suffix at 0 mod 3 meets those at 1 by (symbol, rank), those at 2 by two symbols and a rank
     under_one = np.searchsorted(t[one] * size + rank[one + 1], t[rest] * size + rank[rest + 1])
     under_two = np.searchsorted((t[two] * base + t[two + 1]) * size + rank[two + 2], (t[rest] * base + t[rest + 1]) * size + rank[rest + 2])
@@ -107,8 +116,8 @@ def _order(text: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
-def _pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, bytes, borders) of the texts, a few at a time; nulls are empty."""
+def _pieces(texts: pa.Array, most: int = 2**31) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, bytes, borders) of the texts, a few (``most`` at most) at a time; nulls are empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -117,7 +126,7 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + shingles.CHUNK, "right")) - 1)
+        last = min(first + most, max(first + 1, int(np.searchsorted(ends, ends[first] + shingles.CHUNK, "right")) - 1))
         yield first, raw[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
         first = last
 
@@ -137,12 +146,14 @@ class Segments:
             np.cumsum(_BYTE[raw] * up, out=self.sums[1:])
             self.down = down
             low = mix64((self.sums[GRAM:] - self.sums[:-GRAM]) * down[: n - GRAM + 1])
-        hashes, at, span = low, np.arange(len(low), dtype=np.int32), 1
+        # least by the upper half of the hash, then by place, whatever the chunk
+        hashes, span = low, 1
+        low = (low & ~np.uint64(0xFFFFFFFF)) | np.arange(len(low), dtype=np.uint64)
         while span < grams:
             step = min(span, grams - span)
-            left = low[:-step] <= low[step:]
-            low, at = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:])
+            low = np.minimum(low[:-step], low[step:])
             span += step
+        at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
         inside = np.zeros(n + 1, bool)  # strings that lie in one text
         for a, b in zip(borders[:-1], borders[1:], strict=True):
             inside[a : max(a, b - LENGTH + 1)] = True
@@ -204,7 +215,8 @@ def _print_rows(docs: DataFrame, buckets: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch)
-            for first, raw, borders in _pieces(batch.column("text")):
+            # bucket, text and print share one 64-bit sorting key
+            for first, raw, borders in _pieces(batch.column("text"), max(1, 2**31 // buckets - 1)):
                 s = Segments(raw, borders)
                 if not len(s.text):
                     continue
@@ -214,19 +226,16 @@ def _print_rows(docs: DataFrame, buckets: int) -> DataFrame:
                 once = (unique[same.ravel()] == np.arange(len(own)))[s.text]
                 text, anchor = s.text[once], s.anchor[once]
                 key = (anchor % np.uint64(buckets)).astype(np.int64) << 32 | (anchor >> np.uint64(32)).astype(np.int64)
-                order = np.lexsort((text, key))
-                key, text = key[order], text[order]
-                new = _starts(key, text)
-                key, text = key[new], text[new]
+                pair = np.sort(key * len(own) + text)
+                key, text = np.divmod(pair[_starts(pair)], len(own))
                 begin = np.flatnonzero(_starts(key))
                 many = np.diff(np.append(begin, len(key)))
                 known = np.repeat(many > 1, many)
                 sent = np.concatenate([key[~known], key[begin[many > 1]]])
                 sender = np.concatenate([text[~known], np.full((many > 1).sum(), len(own))])
                 yield _packed(sent, sender, np.concatenate([own, SEVERAL]))
-                key, text = key[known], text[known]
-                order = np.argsort(text, kind="stable")
-                key, text = key[order], text[order]
+                pair = np.sort((text[known] * buckets << 32) + key[known])
+                text, key = np.divmod(pair, buckets << 32)
                 begin = np.flatnonzero(_starts(text))
                 none = pa.nulls(len(begin), pa.binary())
                 columns = [pa.nulls(len(begin), pa.int32()), none, none, _slices(key, begin), *map(pa.array, own[text[begin]].T)]
@@ -237,8 +246,9 @@ def _print_rows(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _packed(key: np.ndarray, text: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     """Rows of (bucket, print) keys with the texts that have them, by bucket and text."""
-    order = np.lexsort((key, text, key >> 32))
-    key, text = key[order], text[order]
+    pair = np.sort((((key >> 32) * len(ids) + text) << 32) | (key & 0xFFFFFFFF))
+    bucket, text = np.divmod(pair >> 32, len(ids))
+    key = bucket << 32 | (pair & 0xFFFFFFFF)
     out: dict[str, list] = {n: [] for n in ("bucket", "sids", "counts", "prints")}
     prints = (key & 0xFFFFFFFF).astype(np.uint32)
     begin = np.flatnonzero(_starts(key >> 32, text))
@@ -269,8 +279,8 @@ def _shared_prints(rows: DataFrame, buckets: int) -> DataFrame:
         who[order] = np.cumsum(new) - 1
         ids = ids[order][new]
         who = np.repeat(who, many)
-        order = np.lexsort((who, prints))
-        prints, who = prints[order], who[order]
+        pair = np.sort(prints.astype(np.uint64) << np.uint64(32) | who.astype(np.uint64))
+        prints, who = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         begin = np.flatnonzero(_starts(prints))
         several = (ids == SEVERAL).all(axis=1)[who]
         mixed = (np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)) | np.logical_or.reduceat(several, begin)
@@ -315,7 +325,8 @@ def _places(active: DataFrame, buckets: int) -> DataFrame:
                 # whether a print is shared doesn't depend on the text
                 wanted = np.frombuffer(b"".join(lists.slice(first, len(borders) - 1).flatten().to_pylist()), np.uint64)
                 key = ((s.anchor % np.uint64(buckets)) << np.uint64(32)) | (s.anchor >> np.uint64(32))
-                keep = np.isin(key, np.unique(wanted))
+                wanted = np.unique(np.append(wanted, np.uint64(2**64 - 1)))
+                keep = wanted[np.searchsorted(wanted, key)] == key
                 at = first + s.text[keep]
                 columns = {"content": s.content()[keep].view(np.int64), "anchor": s.anchor[keep].view(np.int64), "sid": sids[at], "doc": docs[at]}
                 yield _batch(columns | {"start": s.start[keep] - borders[s.text[keep]], "size": s.size[keep]}, PLACES)
@@ -361,7 +372,7 @@ def string_classes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     raw = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8)  # no UTF-8 text has this byte
     ends = np.cumsum(sizes + 1) - 1
-    order = suffix_array(raw)
+    order = suffix_array(raw, ends)
     piece = np.repeat(np.arange(len(pieces)), sizes + 1)[order]
     whole = ends[piece] - order >= LENGTH
     order, piece = order[whole], piece[whole]
@@ -377,10 +388,11 @@ FOUND = "sid long, doc long, start int, size int, anchor long, hash long, owner
 
 def _runs(piece: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, first byte, bytes) that strings at consecutive offsets cover together."""
-    order = np.lexsort((offset, piece))
-    piece, offset = piece[order], offset[order]
-    new = np.ones(len(piece), bool)
-    new[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
+    wide = int(offset.max(initial=0)) + 2
+    place = np.sort(piece * wide + offset)
+    piece, offset = np.divmod(place, wide)
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] != place[:-1] + 1
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(piece)) - 1
     return piece[begin], offset[begin], offset[last[: len(begin)]] - offset[begin] + LENGTH
