@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.functions import geometry as geo
 from rasterloom.functions import labels
 
 KEY = "session_id"
@@ -44,6 +45,33 @@ def update_regions(plan: DataFrame, changes: DataFrame) -> DataFrame:
     return both.withColumns({x: F.coalesce(f"new_{x}", x) for x in ("label", "notes", "polygon")}).select(COLUMNS)
 
 
+def set_main_notes(plan: DataFrame, notes: DataFrame) -> DataFrame:
+    """Replaces the notes of mains by those of (session_id, notes); a plan without a main is an error."""
+    new = notes.select(KEY, labels.note(F.col("notes")).alias("new_notes"))
+    mains = plan.filter("kind = 'main'").select(KEY, F.lit(True).alias("has_main")).distinct()
+    told = new.join(mains, KEY, "left")
+    told = told.withColumn("new_notes", F.when(F.col("has_main"), F.coalesce("new_notes", F.lit(""))).otherwise(F.raise_error(F.lit("the plan has no main ceiling"))))
+    both = plan.join(told.select(KEY, "new_notes"), KEY, "left")
+    return both.withColumn("notes", F.when((F.col("kind") == "main") & F.col("new_notes").isNotNull(), F.col("new_notes")).otherwise(F.col("notes"))).select(COLUMNS)
+
+
+def hit_test(clicks: DataFrame, shapes: DataFrame, reach: float, by: str = KEY, favour: float = 0.8) -> DataFrame:
+    """(by, name, vertex) of each click (by, x, z, selected) that hits a shape (by, name, position, polygon).
+
+    The nearest vertex within ``reach``, the selected shape's distances counted
+    ``favour`` times; else the smallest shape around the click, with no vertex.
+    """
+    mine = F.col("name").eqNullSafe(F.col("selected"))
+    both = clicks.join(shapes, by).withColumn("turn", F.when(mine, F.lit(-1)).otherwise(F.col("position")))
+    x, z, bias = F.col("x"), F.col("z"), F.when(mine, F.lit(favour)).otherwise(F.lit(1.0))
+    away = F.transform("polygon", lambda p, i: F.struct((F.sqrt((p["x"] - x) * (p["x"] - x) + (p["z"] - z) * (p["z"] - z)) * bias).alias("d"), F.col("turn").alias("turn"), i.alias("vertex"), F.col("name").alias("name")))
+    near = F.array_min(F.filter(away, lambda s: s["d"] < reach))
+    around = F.when(geo.contains("polygon", x, z), F.struct(geo.area("polygon").alias("area"), F.col("turn").alias("turn"), F.col("name").alias("name")))
+    best = both.groupBy(by).agg(F.min(near).alias("near"), F.min(around).alias("around"))
+    hit = best.select(by, F.coalesce("near.name", "around.name").alias("name"), F.col("near.vertex").alias("vertex"))
+    return hit.filter("name is not null")
+
+
 def delete_regions(plan: DataFrame, gone: DataFrame) -> DataFrame:
     """Removes (session_id, id); ids that aren't there are no error."""
     return plan.join(gone.select(KEY, "id", F.lit("region").alias("kind")), [KEY, "id", "kind"], "left_anti").select(COLUMNS)

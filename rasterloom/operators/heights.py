@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 KEY = "session_id"
 
 
+def _bin(y: Column, width: float) -> Column:
+    """The bin of a height; one that rounding puts just under an edge belongs above it."""
+    return F.floor((y - F.col("y0")) / width + 1e-9).cast("long")
+
+
 def histogram(df: DataFrame, y: str, width: int, weight: Column | None = None, key: str = KEY) -> DataFrame:
     """(key, y0, bin, n): bins from one under each scan's least height to one over its highest.
 
@@ -20,9 +25,9 @@ def histogram(df: DataFrame, y: str, width: int, weight: Column | None = None, k
     """
     seen = df.filter(F.col(y).isNotNull())
     edge = seen.groupBy(key).agg((F.min(y) - width).alias("y0"), F.max(y).alias("y1"))
-    counts = seen.join(edge, key).groupBy(key, F.floor((F.col(y) - F.col("y0")) / width).cast("long").alias("bin"))
+    counts = seen.join(edge, key).groupBy(key, _bin(F.col(y), width).alias("bin"))
     counts = counts.agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
-    last = F.floor((F.col("y1") - F.col("y0")) / width).cast("long") + 1
+    last = _bin(F.col("y1"), width) + 1
     bins = edge.select(key, "y0", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bin"))
     return bins.join(counts, [key, "bin"], "left").select(key, "y0", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -116,6 +121,12 @@ def stats(df: DataFrame, by: list[str], y: str, digits: int = 6) -> DataFrame:
     )
 
 
+def band_stats(df: DataFrame, by: list[str], y: str, peak: Column, tolerance: float, digits: int = 6) -> DataFrame:
+    """As ``stats``, of the heights within ``tolerance`` of the group's peak, counted against all pixels."""
+    near = F.when(F.abs(F.col(y) - peak) <= tolerance, F.col(y))
+    return stats(df.withColumn(y, near), by, y, digits)
+
+
 def relative(regions: DataFrame, datum: DataFrame, key: str = KEY) -> DataFrame:
     """Adds ``relative_y``: a region's mean minus its scan's datum; null if either is."""
     main = datum.select(key, F.col("mean_y").alias("datum"))

@@ -61,11 +61,22 @@ def wall_edges(faces: DataFrame, ceiling: Column, max_tilt: float = 15.0, span:
     return faces.filter(upright & (F.greatest(*ys) - F.least(*ys) < span) & (F.least(*(F.abs(y - ceiling) for y in ys)) < near))
 
 
-def grid(faces: DataFrame, ppm: float, pad: float = 0.3) -> DataFrame:
-    """One row: the padded extent of the corners used, and the size in pixels."""
+def counts(vertices: DataFrame, faces: DataFrame, key: str = "file") -> DataFrame:
+    """(key, n_verts, n_tris) of meshes that have either."""
+    n = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    return n(vertices, "n_verts").join(n(faces, "n_tris"), key, "full").fillna(0, ["n_verts", "n_tris"])
+
+
+def y_range(faces: DataFrame) -> DataFrame:
+    """One row: the least and greatest height of the corners used."""
+    return faces.agg(F.min(F.least("p.y", "q.y", "r.y")).alias("min_y"), F.max(F.greatest("p.y", "q.y", "r.y")).alias("max_y"))
+
+
+def grid(faces: DataFrame, ppm: float, pad: float = 0.3, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one per mesh: the padded extent of the corners used, and the size in pixels."""
     low = {c: F.min(F.least(*(F.col(f"{k}.{c}") for k in "pqr"))) - pad for c in "xz"}
     high = {c: F.max(F.greatest(*(F.col(f"{k}.{c}") for k in "pqr"))) + pad for c in "xz"}
-    row = faces.agg(low["x"].alias("min_x"), high["x"].alias("max_x"), low["z"].alias("min_z"), high["z"].alias("max_z"))
+    row = faces.groupBy(*by).agg(low["x"].alias("min_x"), high["x"].alias("max_x"), low["z"].alias("min_z"), high["z"].alias("max_z"))
     size = {"width": F.ceil((F.col("max_x") - F.col("min_x")) * ppm).cast("int"), "height": F.ceil((F.col("max_z") - F.col("min_z")) * ppm).cast("int")}
     return row.withColumns({"pixels_per_metre": F.lit(float(ppm))} | size)
 
@@ -81,6 +92,20 @@ def rasterize(faces: DataFrame, max_x: Column, max_z: Column, ppm: float) -> Dat
     return fill_polygons(faces.withColumn("__tri", F.array(*corner)), "__tri").drop("__tri")
 
 
+def wall_raster(faces: DataFrame, ceiling: Column, ppm: float, key: str, dilate_px: int = 1) -> DataFrame:
+    """(key, u, v): wall edges near the ceiling burnt into their mesh's grid and widened by a square.
+
+    ``faces`` with geometry and the columns of their grid.
+    """
+    from rasterloom.operators.raster import dilate
+
+    steps = range(-dilate_px, dilate_px + 1)
+    px = rasterize(wall_edges(faces, ceiling).select(key, "width", "height", "max_x", "max_z", "p", "q", "r"), F.col("max_x"), F.col("max_z"), ppm)
+    size = faces.select(key, "width", "height").distinct()
+    wide = dilate(px.select(key, "u", "v").distinct(), [(a, b) for a in steps for b in steps], key)
+    return wide.join(size, key).filter("u >= 0 and v >= 0 and u < width and v < height").select(key, "u", "v")
+
+
 def z_buffer(pixels: DataFrame, keys: list[str], height: str, order: str, values: list[str]) -> DataFrame:
     """The lowest face (in float32) at each pixel, the first in order on ties."""
     least = F.min(F.struct(F.col(height).cast("float").alias(height), *([order] if order else []), *values)).alias("least")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.operators import heights, kernels, raster
+from rasterloom.operators import heights, kernels, mesh, raster
 from rasterloom.storage import save
 
 KEY = "session_id"
@@ -59,6 +59,40 @@ def sweep(pixels: DataFrame, experiments: list[tuple[str, str, dict]], ppm: floa
     return rows.groupBy(key, "name").applyInPandas(solve, f"{key} {kind}, name string, u int, v int, label int")
 
 
+def named(experiments: list[tuple[str, str, dict]], part: str) -> list[tuple[str, str, dict]]:
+    """The experiments whose name holds ``part``."""
+    return [e for e in experiments if part in e[0]]
+
+
+def regions(faces: DataFrame, ppm: float, close_m: float = 0.05, least_m2: float = 0.25, key: str = KEY) -> DataFrame:
+    """(key, cluster, comp, area_m2, u0, v0, u1, v1): components of each height cluster's closed raster.
+
+    ``faces`` carry corners, their cluster (negative: none) and max_x, max_z of their grid.
+    """
+    mark = F.concat_ws("|", F.col(key).cast("string"), F.col("cluster").cast("string"))
+    rows = faces.filter("cluster >= 0").select(mark.alias("mark"), "cluster", "max_x", "max_z", "p", "q", "r")
+    mask = mesh.rasterize(rows, F.col("max_x"), F.col("max_z"), ppm).select("mark", "u", "v").distinct()
+    radius = max(3, round(close_m * ppm) | 1) // 2
+    whole = raster.close(mask, raster.disc(radius), "mark").withColumn("label", F.substring_index("mark", "|", -1).cast("int"))
+    found = raster.component_stats(raster.components(whole, "label", "mark"), "mark").filter(F.col("area") >= int(least_m2 * ppm * ppm))
+    name = F.expr("substring(mark, 1, length(mark) - length(cast(label as string)) - 1)").cast(faces.schema[key].dataType)
+    return found.select(name.alias(key), F.col("label").alias("cluster"), "comp", (F.col("area") / (ppm * ppm)).alias("area_m2"), "u0", "v0", "u1", "v1")
+
+
+def segment_ceiling(faces: DataFrame, ppm: float = 100.0, max_tilt: float = 30.0, tolerance: float = 0.05, width: float = 0.005, least_band: float = 0.5, least_m2: float = 0.25, close_m: float = 0.05, key: str = KEY) -> DataFrame:
+    """(key, cluster, y, comp, area_m2, u0, v0, u1, v1): the ceiling regions of meshes.
+
+    ``faces``: (key, fid, p, q, r).  Downward faces, their height clusters by area, the
+    nearest band of each face, and the components of each cluster's raster.
+    """
+    down = mesh.downward(mesh.geometry(faces), max_tilt)
+    found = heights.clusters(down, "cy", "area", width, tolerance, 0.10, least_band, key)
+    bands = found.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "y", "y_lo", "y_hi"))), lambda b: F.struct(b["y_lo"].alias("lo"), b["y"].alias("mid"), b["y_hi"].alias("hi"))).alias("bands"))
+    given = down.join(bands, key).withColumn("cluster", heights.band(F.col("cy"), F.col("bands"))).drop("bands")
+    given = given.join(mesh.grid(down, ppm, by=(key,)), key)
+    return regions(given, ppm, close_m, least_m2, key).join(found.select(key, "cluster", "y"), [key, "cluster"])
+
+
 def outlines(labels: DataFrame, eps: float, key: str = KEY) -> DataFrame:
     """(key, label, shell, holes): each label's largest component as a polygon in pixels."""
     kind = labels.schema[key].dataType.simpleString()

@@ -94,6 +94,11 @@ def plane_stats(spark, sf_dir):
     return heights.stats(pixels(spark, sf_dir), ["session_id", "plane"], "y_mm")
 
 
+@query(f"with {PIXELS}, nr as (select session_id, plane, case when abs(y_mm - (2410 + 150 * plane)) <= 5 then y_mm end as y_mm from px) select session_id, plane, {STATS} from nr group by session_id, plane")
+def band_stats(spark, sf_dir):
+    return heights.band_stats(pixels(spark, sf_dir), ["session_id", "plane"], "y_mm", 2410 + 150 * F.col("plane"), 5)
+
+
 @query(f"with {PIXELS}, st as (select session_id, plane, round(avg(y_mm), 6) as mean_y from px group by all) select s.session_id, s.plane, round(s.mean_y - m.mean_y, 6) as relative_y from st s left join st m on m.session_id = s.session_id and m.plane = 0")
 def relative_height(spark, sf_dir):
     st = heights.stats(pixels(spark, sf_dir), ["session_id", "plane"], "y_mm")
@@ -192,6 +197,32 @@ def material_fill(spark, sf_dir):
     return source.faces(obj_lines(spark, sf_dir)).groupBy("file", "lineno", "mat").agg(F.count("*").alias("n"))
 
 
+@query(f"with {TRI}, vn as (select file, count(*) as n_verts from ol where starts_with(line, 'v ') group by file), tn as (select file, count(*) as n_tris from tri group by file) select file, coalesce(n_verts, 0) as n_verts, coalesce(n_tris, 0) as n_tris from vn full join tn using (file)")
+def mesh_counts(spark, sf_dir):
+    lines = obj_lines(spark, sf_dir)
+    return mesh.counts(source.vertices(lines), source.faces(lines))
+
+
+@query(f"with {FACES} select min(least(py, qy, ry)) as min_y, max(greatest(py, qy, ry)) as max_y from fx")
+def y_range(spark, sf_dir):
+    return mesh.y_range(faces(spark, sf_dir))
+
+
+@query()
+def wall_raster(spark, sf_dir):
+    rows = _geometry(spark, sf_dir).withColumn("session_id", F.col("fid") % 8)
+    down = mesh.downward(rows)
+    row = down.groupBy("session_id").agg(F.median("cy").alias("h"))
+    row = row.join(mesh.grid(down, 8, by=("session_id",)), "session_id")
+    return mesh.wall_raster(rows.join(row, "session_id"), F.col("h"), 8.0, "session_id")
+
+
+@query()
+def legacy_segmentation(spark, sf_dir):
+    rows = faces(spark, sf_dir).withColumn("session_id", F.col("fid") % 8)
+    return segment.segment_ceiling(rows, 8.0, least_m2=0.1)
+
+
 #: A room, an L and a triangle, in metres.
 ROOM = [(0, 0), (6, 0), (6, 4), (0, 4)]
 ELL = [(0, 0), (5, 0), (5, 2), (2, 2), (2, 5), (0, 5)]
@@ -513,6 +544,28 @@ def plan_edits(spark, sf_dir):
     return documents.add_regions(plan, new).select("session_id", "kind", "id", "label")
 
 
+@query(f"with {PLAN} select session_id, kind, id, case when kind = 'main' and session_id % 2 = 0 then 'note ' || session_id else '' end as notes from pl")
+def main_notes(spark, sf_dir):
+    plan = _plan(spark, sf_dir)
+    notes = plan.filter("kind = 'main' and session_id % 2 = 0").select("session_id", F.concat(F.lit("note "), F.col("session_id").cast("string")).alias("notes"))
+    return documents.set_main_notes(plan, notes).select("session_id", "kind", "id", "notes")
+
+
+@query(
+    f"""with {POLY}, rv as (select id, x, z, i, a[1]::double as ax, a[2]::double as az, b[1]::double as bx, b[2]::double as bz from cs, (select unnest(range(0, 4))::int as i, unnest({[list(p) for p in ROOM]}) as a, unnest({[list(p) for p in ROOM[1:] + ROOM[:1]]}) as b)),
+sh as (select id, x, z, 'ell' as name, -1 as turn, 0.8::double as bias, i, ax, az, bx, bz from vx union all select id, x, z, 'room', 0, 1::double, i, ax, az, bx, bz from rv),
+nr as (select id, arg_min(name, (d, turn, i)) as name, arg_min(i, (d, turn, i)) as vertex from (select *, sqrt((ax - x) * (ax - x) + (az - z) * (az - z)) * bias as d from sh) where d < 0.7 group by id),
+ar as (select id, name, turn, abs(sum(ax * bz - bx * az)) / 2 as area, sum(case when (az > z) <> (bz > z) and x < (bx - ax) * (z - az) / case when bz = az then 1 else bz - az end + ax then 1 else 0 end) % 2 = 1 as inside from sh group by id, name, turn),
+ir as (select id, arg_min(name, (area, turn)) as name from ar where inside group by id)
+select id, coalesce(nr.name, ir.name) as name, nr.vertex from nr full join ir using (id)"""
+)
+def hit_test(spark, sf_dir):
+    rows = _polygons(spark, sf_dir)
+    shapes = rows.select("id", F.lit("ell").alias("name"), F.lit(1).alias("position"), F.col("poly").alias("polygon"))
+    shapes = shapes.unionByName(rows.select("id", F.lit("room").alias("name"), F.lit(0).alias("position"), geo.polygon(ROOM).alias("polygon")))
+    return documents.hit_test(rows.select("id", "x", "z", F.lit("ell").alias("selected")), shapes, 0.7, "id")
+
+
 @query()
 def plan_json(spark, sf_dir):
     return documents.to_json(_plan(spark, sf_dir))
@@ -561,7 +614,7 @@ for _name in segment.kernels.SEG:
     QUERIES[f"seg_{_name}"] = _segmentation(_name)
 
 
-#: The reference's grid (debug/experiments.py): name, algorithm, arguments.
+#: The reference's grid of name, algorithm and arguments.
 EXPERIMENTS: list[tuple[str, str, dict]] = [
     ("histogram", "histogram", {}),
     ("felzenszwalb_s100", "felzenszwalb", {"scale": 100}),
