@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, chat, decontam, jaccard, lines, pii, quality, suffix, topk
+from rasterloom.llm import bpe, chat, decontam, jaccard, lines, phrases, pii, quality, search, shards, suffix, topk
 from rasterloom.llm.common import prepare
 
 
@@ -98,6 +98,27 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        shards.size_of("text").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def _replaced(expr: str, pairs: list[tuple[str, str]]) -> str:
     for a, b in pairs:
         expr = f"replace({expr}, '{a}', '{b}')"
@@ -184,6 +205,71 @@ select * from r where rank <= 10
 """
 
 
+OP12_SQL = """
+with pieces as (
+  select row_number() over () as doc, coalesce(lang, 'und') as lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') as p
+  from documents
+), said as (
+  select doc, lang, generate_subscripts(p, 1) as piece, unnest(p) as said from pieces
+), split as (
+  select lang, list_filter(regexp_split_to_array(said, '[ \\x09]+'), lambda x: x <> '') as w from said
+), grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) as g
+  from split, (values (1), (2), (3), (4)) as v(k) where len(w) >= k
+), counts as (
+  select lang, k, g, count(*) as a from grams group by lang, k, g
+), held as (
+  select * from counts where a >= 30
+), cuts as (
+  select h.lang, h.k, h.g, h.a, c, l.a as l, r.a as r, (2000000 * h.a::hugeint) // (l.a + r.a) as score
+  from held h, (values (1), (2), (3)) as v(c), held l, held r
+  where h.k > c and l.lang = h.lang and r.lang = h.lang and l.g = h.g[1:c] and r.g = h.g[c + 1:h.k]
+), least as (
+  select lang, k, g, a, unnest(list_sort(list({'score': score, 'c': c, 'l': l, 'r': r}))[1:1], recursive := true) from cuts group by lang, k, g, a
+), spots as (
+  select lang, a, g[i:i + n - 1] as g from held, (values (1), (2), (3)) as v(i), (values (2), (3)) as u(n) where k > n and i + n - 1 <= k
+), wide as (
+  select lang, g, max(a) as most from spots group by lang, g
+), kept as (
+  select e.lang, array_to_string(e.g, ' ') as phrase, e.a, e.l, e.r, e.score
+  from least e left join wide w on w.lang = e.lang and w.g = e.g where w.most is null or 100 * w.most < 80 * e.a
+), ranked as (
+  select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, * exclude (lang) from kept
+), total as (
+  select lang, sum(a)::bigint as n from counts where k = 1 group by lang
+)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= 2000
+"""
+
+
+OP13_SQL = """
+with said as (
+  select row_number() over () as k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as t
+  from documents where text is not null and doc_id is not null
+), docs as (
+  select k, doc_id, len(t)::bigint as n from said where len(t) > 0
+), sizes as (
+  select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from docs
+), asked as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as t
+  from benchmark where item_id is not null
+), wanted as (
+  select item_id, t, count(*)::bigint as often from asked group by item_id, t
+), postings as (
+  select k, t, count(*)::bigint as tf from (select k, unnest(t) as t from said) where t in (select t from wanted) group by k, t
+), weights as (
+  select t, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from postings, sizes group by t
+), scored as (
+  select item_id, d.k, doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+  from wanted join postings using (t) join weights using (t) join docs d using (k), sizes group by item_id, d.k, doc_id
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scored where score > 0
+)
+select * from ranked where rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -196,8 +282,11 @@ def queries() -> dict:
         "op8_top_k": op8_top_k,
         "op9_bpe": op9_bpe,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_sharding": op11_sharding,
+        "op12_collocations": op12_collocations,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _op1_sql(), "op3_line_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op8_top_k": OP8_SQL}
+    return {"op1_chat_formatting": _op1_sql(), "op3_line_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op8_top_k": OP8_SQL, "op12_collocations": OP12_SQL, "op13_lexical_search": OP13_SQL}
