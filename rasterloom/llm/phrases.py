@@ -139,13 +139,15 @@ class Ranks:
         self.order = np.argsort(self.keys)
         self.sorted = self.keys[self.order]
 
+    def _rank(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, keys), len(self.keys) - 1)
+        return self.sorted[at] == keys, self.order[at]
+
     def codes(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(what stands for each word, its place in the order of rarity); -1 for words that no candidate holds."""
-        if not len(self.keys):
-            rank, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        else:
-            at = np.minimum(np.searchsorted(self.sorted, keys), len(self.keys) - 1)
-            known, rank = self.sorted[at] == keys, self.order[at]
+        known, rank = self._rank(keys)
         if self.complete:
             code = np.where(known, rank, -1).astype(np.int32)
             return code, code
@@ -155,8 +157,10 @@ class Ranks:
         """Over how many cells each pivot's fragments go."""
         if self.complete:
             return -(-self.n[code] // split)
-        at = np.minimum(np.searchsorted(self.sorted, code.view(np.uint64)), len(self.keys) - 1)
-        return np.where(self.sorted[at] == code.view(np.uint64), -(-self.n[self.order[at]] // split), 1)
+        known, rank = self._rank(code.view(np.uint64))
+        out = np.ones(len(code), np.int64)
+        out[known] = -(-self.n[rank[known]] // split)
+        return out
 
     def named(self, code: np.ndarray) -> np.ndarray:
         return self.keys[code].view(np.int64) if self.complete else code
