@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.operators.kernels import nearest_columns
+from rasterloom.storage import save
+
 KEY = "session_id"
 
 
@@ -24,59 +27,114 @@ SQUARE = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
 
 
-def _moved(mask: DataFrame, kernel: list[tuple[int, int]], key: str) -> DataFrame:
-    steps = F.array(*(F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a, b in kernel))
-    rows = mask.select(key, "u", "v", F.explode(steps).alias("s"))
-    return rows.select(key, (F.col("u") + F.col("s.du")).alias("u"), (F.col("v") + F.col("s.dv")).alias("v"))
+def kernel_runs(kernel: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """A kernel's offsets as horizontal runs (dv, first du, last du)."""
+    out: list[list[int]] = []
+    for dv, du in sorted({(b, a) for a, b in kernel}):
+        if out and out[-1][0] == dv and out[-1][2] == du - 1:
+            out[-1][2] = du
+        else:
+            out.append([dv, du, du])
+    return [tuple(x) for x in out]
+
+
+def runs(mask: DataFrame, key: str = KEY) -> DataFrame:
+    """(key, v, a, b): the maximal horizontal runs of a mask; repeated pixels count once."""
+    line = Window.partitionBy(key, "v").orderBy("u")
+    rows = mask.select(key, "u", "v").withColumn("island", F.col("u") - F.dense_rank().over(line))
+    return rows.groupBy(key, "v", "island").agg(F.min("u").alias("a"), F.max("u").alias("b")).drop("island")
+
+
+def run_pixels(lines: DataFrame, key: str = KEY) -> DataFrame:
+    return lines.select(key, F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int"))).alias("u"), F.col("v").cast("int"))
+
+
+def _stepped(lines: DataFrame, kernel: list[tuple[int, int]]) -> DataFrame:
+    steps = F.array(*(F.struct(F.lit(dv).alias("dv"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for dv, lo, hi in kernel_runs(kernel)))
+    return lines.withColumn("s", F.explode(steps))
+
+
+def dilate_runs(lines: DataFrame, kernel: list[tuple[int, int]], key: str = KEY) -> DataFrame:
+    """Runs of the dilation: each run widened by each run of the kernel, overlaps merged line by line."""
+    wide = _stepped(lines, kernel).select(key, (F.col("v") + F.col("s.dv")).alias("v"), (F.col("a") + F.col("s.lo")).alias("a"), (F.col("b") + F.col("s.hi")).alias("b"))
+    line = Window.partitionBy(key, "v").orderBy("a", "b")
+    reach = F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    wide = wide.withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return wide.groupBy(key, "v", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
+
+
+def erode_runs(lines: DataFrame, kernel: list[tuple[int, int]], key: str = KEY) -> DataFrame:
+    """Runs of the erosion: where the shrunk runs of all runs of the kernel meet, by a sweep along each line."""
+    shrunk = _stepped(lines, kernel).select(key, (F.col("v") - F.col("s.dv")).alias("v"), (F.col("a") - F.col("s.lo")).alias("a"), (F.col("b") - F.col("s.hi")).alias("b")).filter("a <= b")
+    turns = shrunk.select(key, "v", F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("at"), F.lit(-1).alias("d")))).alias("t"))
+    turns = turns.groupBy(key, "v", F.col("t.at").alias("a")).agg(F.sum("t.d").alias("d"))
+    line = Window.partitionBy(key, "v").orderBy("a")
+    held = turns.withColumn("n", F.sum("d").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.lead("a").over(line) - 1)
+    return held.filter(F.col("n") == len(kernel_runs(kernel))).select(key, "v", "a", "b")
 
 
 def dilate(mask: DataFrame, kernel: list[tuple[int, int]], key: str = KEY) -> DataFrame:
-    """Pixels within the kernel of a mask pixel; the plane has no border."""
-    return _moved(mask, kernel, key).distinct()
+    """Pixels within the kernel of a mask pixel; the plane has no border.
+
+    Morphology works on horizontal runs: what is multiplied is runs by the kernel's runs,
+    never pixels by its area.
+    """
+    return run_pixels(dilate_runs(runs(mask, key), kernel, key), key)
 
 
 def erode(mask: DataFrame, kernel: list[tuple[int, int]], key: str = KEY) -> DataFrame:
     """Pixels whose whole kernel lies in the mask."""
-    back = [(-a, -b) for a, b in kernel]
-    return _moved(mask, back, key).groupBy(key, "u", "v").count().filter(F.col("count") == len(kernel)).drop("count")
+    return run_pixels(erode_runs(runs(mask, key), kernel, key), key)
 
 
-def close(mask: DataFrame, kernel: list[tuple[int, int]], key: str = KEY) -> DataFrame:
-    return erode(dilate(mask, kernel, key), kernel, key)
+def close(mask: DataFrame, kernel: list[tuple[int, int]], key: str = KEY, times: int = 1) -> DataFrame:
+    """``times`` dilations, then as many erosions."""
+    lines = runs(mask, key)
+    for step in (dilate_runs, erode_runs):
+        for _ in range(times):
+            lines = step(lines, kernel, key)
+    return run_pixels(lines, key)
 
 
-def median_filter(df: DataFrame, label: str, radius: int, key: str = KEY, labels: int = 6) -> DataFrame:
+def median_filter(df: DataFrame, label: str, radius: int, key: str = KEY) -> DataFrame:
     """(key, u, v, label): the middle label of a (2r+1)-square, borders replicated.
 
-    The grid is dense and labels are 0 to ``labels`` - 1.  Counts per label are packed
-    into one integer, ten bits each, so two running sums serve all labels.
+    The grid is dense; labels are any integers, ordered as such, a null label after all
+    others.  Labels are ranked within their scan; counts by rank are packed into as many
+    64-bit words as they need, each wide enough for the whole square, and two running sums
+    serve all words.
     """
-    if labels > 6 or (2 * radius + 1) ** 2 > 1023:
-        raise ValueError("six labels and a square of 31 at most")
-    grid = df.groupBy(key).agg(*(f(c).alias(n + c) for c in "uv" for f, n in ((F.min, "low_"), (F.max, "high_"))))
-    one = F.lit(1).cast("long")
-    for k in range(1, labels):
-        one = F.when(F.col(label) == k, F.lit(1 << (10 * k))).otherwise(one)
-    rows = df.join(grid, key).withColumn("one", one)
+    names = df.groupBy(key).agg(
+        F.array_sort(F.collect_set(F.col(label))).alias("names"),
+        F.max(F.col(label).isNull().cast("int")).alias("holes"),
+        *(f(c).alias(n + c) for c in "uv" for f, n in ((F.min, "low_"), (F.max, "high_"))),
+    )
+    names = save(names, "median-names")
+    most = names.agg(F.max(F.size("names") + F.col("holes"))).first()[0] or 1
+    bits = ((2 * radius + 1) ** 2).bit_length()
+    each = 63 // bits
+    words = [f"word{w}" for w in range(-(-most // each))]
+    rank = F.when(F.col(label).isNull(), F.size("names")).otherwise(F.array_position("names", F.col(label)).cast("int") - 1)
+    rows = df.join(names, key).withColumn("rank", rank).drop("names", "holes")
+    rows = rows.withColumns({w: F.when(F.floor(F.col("rank") / each) == k, F.expr(f"shiftleft(1L, cast({bits} * (rank % {each}) as int))")).otherwise(F.lit(0).cast("long")) for k, w in enumerate(words)})
 
     def spread(c: str) -> Column:
         first = F.when(F.col(c) == F.col(f"low_{c}"), F.col(c) - radius).otherwise(F.col(c))
         last = F.when(F.col(c) == F.col(f"high_{c}"), F.col(c) + radius).otherwise(F.col(c))
         return F.explode(F.sequence(first, last))
 
-    wide = rows.withColumn("pu", spread("u")).withColumn("pv", spread("v"))
+    wide = rows.withColumn("pu", spread("u")).withColumn("pv", spread("v")).select(key, "u", "v", "pu", "pv", *words)
     across = Window.partitionBy(key, "pv").orderBy("pu").rowsBetween(-radius, radius)
     down = Window.partitionBy(key, "pu").orderBy("pv").rowsBetween(-radius, radius)
-    sums = wide.withColumn("one", F.sum("one").over(across)).withColumn("one", F.sum("one").over(down))
-    sums = sums.filter("pu = u and pv = v")
-    half, upto, found = (2 * radius + 1) ** 2 // 2, F.lit(0).cast("long"), F.lit(None).cast("int")
-    steps = []
-    for k in range(labels):
-        upto = upto + F.shiftright(F.col("one"), 10 * k).bitwiseAND(F.lit(1023).cast("long"))
-        steps.append((upto, k))
-    for upto, k in reversed(steps):
-        found = F.when(upto > half, F.lit(k)).otherwise(found)
-    return sums.select(key, "u", "v", found.alias("label"))
+    sums = wide.withColumns({w: F.sum(w).over(across) for w in words})
+    sums = sums.filter("pu = u").withColumns({w: F.sum(w).over(down) for w in words}).filter("pv = v")
+    counts = F.array(*(F.shiftright(words[k // each], bits * (k % each)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) for k in range(most)))
+    half = (2 * radius + 1) ** 2 // 2
+    # the middle rank is the number of ranks up to which no more than half of the square lies
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("rank"))
+    step = lambda acc, n: F.struct((acc["upto"] + n).alias("upto"), (acc["rank"] + F.when(acc["upto"] + n <= half, 1).otherwise(0)).alias("rank"))
+    sums = sums.withColumn("rank", F.aggregate(counts, start, step)["rank"]).select(key, "u", "v", "rank")
+    return sums.join(names.select(key, "names"), key).select(key, "u", "v", F.get("names", "rank").alias("label"))
 
 
 def gradient(df: DataFrame, y: str, key: str = KEY) -> DataFrame:
@@ -179,7 +237,8 @@ def nearest_fill(df: DataFrame, label: str = "label", key: str = KEY) -> DataFra
     """(key, u, v, label): each pixel without a label takes that of the nearest with one.
 
     Exact Euclidean distance, ties to the smaller (v, u).  Two passes: nearest
-    labelled pixel in the column by windows, then the best column for each line.
+    labelled pixel in the column by windows, then for each line the lower envelope of the
+    columns' parabolas, in time linear in the line.
     """
     down = Window.partitionBy(key, "u").orderBy("v")
     said = F.when(F.col(label).isNotNull(), F.struct(F.col("v").alias("at"), F.col(label).alias("label")))
@@ -191,14 +250,17 @@ def nearest_fill(df: DataFrame, label: str = "label", key: str = KEY) -> DataFra
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         v = int(pdf["v"].iloc[0])
-        parts = [pdf[["u", f"v{i}", f"l{i}"]].dropna().to_numpy(dtype=np.int64) for i in (1, 2)]
-        seen = np.concatenate(parts)
+        pdf = pdf.sort_values("u")
         u = pdf["u"].to_numpy(dtype=np.int64)
-        if not len(seen):
+        v1, v2, l1, l2 = (pdf[c].to_numpy(dtype=float) for c in ("v1", "v2", "l1", "l2"))
+        # of each column the nearer labelled pixel, the upper one on ties
+        upper = ~np.isnan(v1) & ~(v2 - v < v - v1)
+        at, said = np.where(upper, v1, v2), np.where(upper, l1, l2)
+        some = ~np.isnan(at)
+        if not some.any():
             return pd.DataFrame({key: pdf[key], "u": u, "v": v, "label": pd.array([None] * len(u), "Int64")})
-        seen = seen[np.lexsort((seen[:, 0], seen[:, 1]))]
-        best = np.concatenate([((u[i : i + 256, None] - seen[:, 0]) ** 2 + (v - seen[:, 1]) ** 2).argmin(axis=1) for i in range(0, len(u), 256)])
-        return pd.DataFrame({key: pdf[key], "u": u, "v": v, "label": seen[best, 2]})
+        best = nearest_columns(u[some], at[some].astype(np.int64), u, v)
+        return pd.DataFrame({key: pdf[key], "u": u, "v": v, "label": said[some][best].astype(np.int64)})
 
     return lines.groupBy(key, "v").applyInPandas(solve, f"{key} {kinds[0]}, u {kinds[1]}, v {kinds[2]}, label {kinds[3]}")
 

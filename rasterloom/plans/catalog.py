@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as geo
 from rasterloom.functions import labels as text
-from rasterloom.operators import documents, heights, mesh, raster, scoring, segment
+from rasterloom.operators import documents, heights, mesh, raster, render, scoring, segment
 from rasterloom.plans.adapters import FACES, OBJ, PIXELS, faces, obj_lines, pixels, scans
 from rasterloom.sources import scans as source
 
@@ -178,6 +178,34 @@ def height_map(spark, sf_dir):
     return mesh.z_buffer(px, ["u", "v"], "cy", "fid", [])
 
 
+#: Faces with texture corners at eighths, in closed form: a triangle of whole 4-pixel legs.
+TEXTURED = FACES + """, gx as (select min(least(px, qx, rx)) - 0.5 as x0, max(greatest(px, qx, rx)) + 0.5 as x1, min(least(pz, qz, rz)) - 0.5 as z0, max(greatest(pz, qz, rz)) + 0.5 as z1 from fx),
+ft as (select fx.*, fid % 4 as mat, (fid % 8) / 8.0::double as pu, (fid % 5) / 8.0::double as pv, (fid % 8 + 3) / 8.0::double as qu, (fid % 3) / 8.0::double as qv, (fid % 7) / 8.0::double as ru, (fid % 5 + 2) / 8.0::double as rv,
+  ((x1 - px) * 8)::int as u0, ((z1 - pz) * 8)::int as v0, cy::float as y from fx, gx where tilt <> 0 and fid % 4 < 3),
+dp as (select fid, mat, y, case tilt when 1 then u0 - j else u0 - i end as u, case tilt when 1 then v0 - i else v0 - j end as v,
+  16 * (pu + (qu - pu) * i / 4 + (ru - pu) * j / 4) as sx, 16 * (1 - (pv + (qv - pv) * i / 4 + (rv - pv) * j / 4)) as sy from ft, unnest(range(0, 5)) a(i), unnest(range(0, 5)) b(j) where i + j <= 4),
+wn as (select u, v, arg_min(struct_pack(fid := fid, mat := mat, y := y, sx := sx, sy := sy), (y, fid)) as w from dp group by u, v),
+tx as (select (c_custkey // 256 % 3) as mat, c_custkey % 16 as tu, c_custkey // 16 % 16 as tv, max(c_custkey * 37 % 256) as r, max(c_custkey * 11 % 256) as g, max(c_custkey * 5 % 256) as b from customer group by all),
+sm as (select u, v, w, floor(w.sx) + i as x, floor(w.sy) + j as z, case i when 1 then w.sx - floor(w.sx) else 1 - w.sx + floor(w.sx) end * case j when 1 then w.sy - floor(w.sy) else 1 - w.sy + floor(w.sy) end as k from wn, unnest(range(0, 2)) a(i), unnest(range(0, 2)) b(j)),
+rf as (select u, v, w, k, case when x % 32 + case when x % 32 < 0 then 32 else 0 end < 16 then x % 32 + case when x % 32 < 0 then 32 else 0 end else 31 - x % 32 - case when x % 32 < 0 then 32 else 0 end end as tu,
+  case when z % 32 + case when z % 32 < 0 then 32 else 0 end < 16 then z % 32 + case when z % 32 < 0 then 32 else 0 end else 31 - z % 32 - case when z % 32 < 0 then 32 else 0 end end as tv from sm)"""
+
+
+@query(
+    f"with {TEXTURED} select u, v, any_value(w.y)::double as y, any_value(w.fid) as fid, floor(sum(coalesce(k * r, 0)) + 0.5)::int as r, floor(sum(coalesce(k * g, 0)) + 0.5)::int as g, floor(sum(coalesce(k * b, 0)) + 0.5)::int as b from rf left join tx on tx.mat = rf.w.mat and tx.tu = rf.tu and tx.tv = rf.tv group by u, v"
+)
+def textured_render(spark, sf_dir):
+    rows = _geometry(spark, sf_dir).withColumn("key", F.lit(0))
+    point = lambda u, v: F.struct(F.expr(f"({u}) / 8.0D").alias("u"), F.expr(f"({v}) / 8.0D").alias("v"))
+    rows = rows.withColumns({"mat": F.expr("cast(fid % 4 as int)"), "tp": point("fid % 8", "fid % 5"), "tq": point("fid % 8 + 3", "fid % 3"), "tr": point("fid % 7", "fid % 5 + 2")})
+    rows = rows.join(F.broadcast(mesh.grid(rows, 8, 0.5, by=("key",))), "key")
+    texels = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("0 key", "cast(c_custkey div 256 % 3 as int) mat", "cast(c_custkey % 16 as int) tu", "cast(c_custkey div 16 % 16 as int) tv", "c_custkey k")
+    texels = texels.groupBy("key", "mat", "tu", "tv").agg(*(F.max(F.col("k") * f % 256).alias(c) for c, f in (("r", 37), ("g", 11), ("b", 5))))
+    materials = spark.createDataFrame([(0, m, 16, 16) for m in range(3)], "key int, mat int, tw int, th int")
+    made = render.textured(rows.select("key", "fid", "mat", "p", "q", "r", "tp", "tq", "tr", "max_x", "max_z", "width", "height"), materials, texels, 8.0)
+    return made.drop("key").withColumn("y", F.col("y").cast("double"))
+
+
 TRI = OBJ + """, w as (select file, lineno, string_split(line, ' ') as w from ol), m as (select file, w[2] as name, (row_number() over (partition by file order by min(lineno)) - 1)::int as mat from w where w[1] = 'usemtl' group by file, w[2]),
 g as (select file, lineno, w, last_value(case when w[1] = 'usemtl' then w[2] end ignore nulls) over (partition by file order by lineno) as name from w where w[1] in ('usemtl', 'f')),
 p as (select g.file, g.lineno, coalesce(m.mat, -1) as mat, list_transform(g.w[2:], lambda x: string_split(x, '/')) as c from g left join m on m.file = g.file and m.name = g.name where g.w[1] = 'f'),
@@ -318,6 +346,20 @@ def median_filter(spark, sf_dir):
     return raster.median_filter(_noisy(spark, sf_dir), "label", 3)
 
 
+#: 40 labels that are no ranks, and none, in one scan.
+MANY = "lm as (select session_id, u, v, case when (u * 7 + v * 13) % 23 = 0 then null else ((u // 9 + v // 7 * 5 + (u * 11 + v * 3) % 4) % 40) * 3 - 50 end::int as label from px)"
+SQUARE15 = "(select a.s as du, b.s as dv from (select unnest(range(-7, 8))::int as s) a, (select unnest(range(-7, 8))::int as s) b)"
+
+
+@query(
+    f"with {PIXELS}, {BOX}, {MANY}, sq as materialized (select session_id, u, v, least(greatest(u + du, u0), u1) as nu, least(greatest(v + dv, v0), v1) as nv from lm join bx using (session_id), {SQUARE15}), lq as materialized (select session_id, u as nu, v as nv, coalesce(label, 1000) as label from lm) "
+    "select session_id, u, v, nullif(quantile_disc(label, 0.5), 1000)::int as label from sq join lq using (session_id, nu, nv) group by session_id, u, v"
+)
+def median_filter_labels(spark, sf_dir):
+    label = F.expr("case when (u * 7 + v * 13) % 23 = 0 then null else cast(((u div 9 + v div 7 * 5 + (u * 11 + v * 3) % 4) % 40) * 3 - 50 as int) end")
+    return raster.median_filter(pixels(spark, sf_dir).select("session_id", "u", "v", label.alias("label")), "label", 7)
+
+
 MASK = "mk as (select session_id, u, v from px where y_mm is null)"
 
 
@@ -338,6 +380,14 @@ def close(spark, sf_dir):
     return raster.close(_holes(spark, sf_dir), raster.CROSS)
 
 
+DISC = "(select a.s as du, b.s as dv from (select unnest(range(-4, 5))::int as s) a, (select unnest(range(-4, 5))::int as s) b where a.s * a.s + b.s * b.s <= 18)"
+
+
+@query(f"with {PIXELS}, {MASK}, d as (select distinct session_id, u + du as u, v + dv as v from mk, {DISC}) select session_id, (u - du)::int as u, (v - dv)::int as v from d, {DISC} group by 1, 2, 3 having count(*) = (select count(*) from {DISC})")
+def close_ellipse(spark, sf_dir):
+    return raster.close(_holes(spark, sf_dir), raster.disc(4))
+
+
 @query(
     f"""with {PIXELS}, g as (select session_id, u, v, plane * 10 + u % 3 as y from px), a as (select *, coalesce(lag(y) over h, lead(y) over h) as lo, coalesce(lead(y) over h, lag(y) over h) as hi from g window h as (partition by session_id, v order by u)),
 b as (select session_id, u, v, hi - lo as d, lo + 2 * y + hi as s from a), c as (select *, coalesce(lag(d) over k, lead(d) over k) as da, coalesce(lead(d) over k, lag(d) over k) as db, coalesce(lag(s) over k, lead(s) over k) as sa, coalesce(lead(s) over k, lag(s) over k) as sb from b window k as (partition by session_id, u order by v))
@@ -406,6 +456,40 @@ def nearest_fill(spark, sf_dir):
     return raster.nearest_fill(rows).withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
+@query(f"with {PIXELS}, sn as (select * from px where (u + 3 * v) % 97 = 0) select p.session_id, p.u, p.v, (select arg_min(s.v * 1000 + s.u, ((s.u - p.u) ^ 2 + (s.v - p.v) ^ 2, s.v, s.u)) from sn s where s.session_id = p.session_id)::int as label from px p")
+def nearest_fill_sparse(spark, sf_dir):
+    """Labels far apart, each its own place."""
+    label = F.expr("case when (u + 3 * v) % 97 = 0 then v * 1000 + u end")
+    return raster.nearest_fill(pixels(spark, sf_dir).withColumn("label", label)).withColumn("label", F.col("label").cast("int"))
+
+
+#: Three layers of tint over a base colour.
+LAYERS = "ly as (select session_id, u, v, 0 as layer, plane * 60 as r, 10 as g, 20 as b, 0.5::double as alpha from px where u < 70 union all select session_id, u, v, 1, 200, plane * 30, 40, 0.25::double from px where v >= 30 union all select session_id, u, v, 2, 5, 250, plane * 20, 0.75::double from px where (u + v) % 3 = 0)"
+OVER = "case when (u + v) % 3 = 0 then 0.75 else 0 end"
+
+
+@query(
+    f"""with {PIXELS}, b0 as (select session_id, u, v, plane, (u * 2)::double as r, v::double as g, ((u + v) % 256)::double as b from px),
+b1 as (select *, case when u < 70 then 0.5 else 0 end::double as k, (plane * 60)::double as x, 10::double as y, 20::double as z from b0), c1 as (select session_id, u, v, plane, r * (1 - k) + x * k as r, g * (1 - k) + y * k as g, b * (1 - k) + z * k as b from b1),
+b2 as (select *, case when v >= 30 then 0.25 else 0 end::double as k, 200::double as x, (plane * 30)::double as y, 40::double as z from c1), c2 as (select session_id, u, v, plane, r * (1 - k) + x * k as r, g * (1 - k) + y * k as g, b * (1 - k) + z * k as b from b2),
+b3 as (select *, ({OVER})::double as k, 5::double as x, 250::double as y, (plane * 20)::double as z from c2)
+select session_id, u, v, floor(r * (1 - k) + x * k + 0.5)::int as r, floor(g * (1 - k) + y * k + 0.5)::int as g, floor(b * (1 - k) + z * k + 0.5)::int as b from b3"""
+)
+def overlay_blend(spark, sf_dir):
+    px = pixels(spark, sf_dir).select("session_id", "u", "v", "plane")
+    base = px.selectExpr("session_id", "u", "v", "u * 2 r", "v g", "(u + v) % 256 b")
+    made = [("u < 70", 0, "plane * 60, 10, 20", 0.5), ("v >= 30", 1, "200, plane * 30, 40", 0.25), ("(u + v) % 3 = 0", 2, "5, 250, plane * 20", 0.75)]
+    layers = [px.filter(c).selectExpr("session_id", "u", "v", f"{k} layer", *(f"{x} {n}" for x, n in zip(rgb.split(", "), "rgb")), f"{a}D alpha") for c, k, rgb, a in made]
+    return render.overlay(base, layers[0].unionByName(layers[1]).unionByName(layers[2]))
+
+
+@query(f"with {PIXELS}, lb as (select session_id, u, v, case when y_mm is null then -1 else plane end as label from px), rm as (select session_id, u, v from px where u between 10 and 79), ins as (select * from lb join rm using (session_id, u, v) where label >= 0), e as (select * from ins union all select session_id, u, v, -1 from ins) select session_id, label::int as label, count(*) as n, round(avg(u), 9) as mean_u, round(avg(v), 9) as mean_v, round(100.0::double * count(*) / any_value(t.total), 9) as percent from e join (select session_id, count(*) as total from rm group by session_id) t using (session_id) group by session_id, label")
+def region_coverage(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    labels = px.select("session_id", "u", "v", F.expr("case when y_mm is null then -1 else plane end").alias("label"))
+    return render.coverage(labels, px.filter("u between 10 and 79")).withColumns({c: F.round(c, 9) for c in ("mean_u", "mean_v", "percent")})
+
+
 PAIR = f"{ASSIGN}, pt as (select session_id, coalesce(label, -1) as pred, plane as truth from assigned)"
 IOU = PAIR + ", cm as (select session_id, pred, truth, count(*) as n from pt where pred >= 0 and truth >= 0 group by all)"
 
