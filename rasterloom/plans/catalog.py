@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as geo
 from rasterloom.functions import labels as text
-from rasterloom.operators import documents, heights, mesh, raster, render, scoring, segment
+from rasterloom.operators import contract, documents, heights, mesh, raster, render, scoring, segment
 from rasterloom.plans.adapters import FACES, OBJ, PIXELS, faces, obj_lines, pixels, scans
 from rasterloom.sources import scans as source
 
@@ -698,6 +698,21 @@ for _name in segment.kernels.SEG:
     QUERIES[f"seg_{_name}"] = _segmentation(_name)
 
 
+@query()
+def tiled_felzenszwalb(spark, sf_dir):
+    return contract.felzenszwalb(scans(spark, sf_dir), 20.0, merge=0.02, tile=48)
+
+
+@query()
+def tiled_felzenszwalb_image(spark, sf_dir):
+    return contract.felzenszwalb_image(scans(spark, sf_dir), 20.0, tile=48)
+
+
+@query()
+def tiled_felzenszwalb_combined(spark, sf_dir):
+    return contract.felzenszwalb_combined(scans(spark, sf_dir), 20.0, tile=48)
+
+
 #: The reference's grid of name, algorithm and arguments.
 EXPERIMENTS: list[tuple[str, str, dict]] = [
     ("histogram", "histogram", {}),
