@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,14 +22,43 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def save(df: DataFrame, label: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
+class _Open(threading.local):
+    """Paths of the tables saved inside each open ``scratch`` of a thread."""
+
+    def __init__(self):
+        self.levels: list[list[str]] = []
+
+
+_open = _Open()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables saved inside when it ends, also by an error, but for those saved with ``keep``."""
+    _open.levels.append([])
+    try:
+        yield
+    finally:
+        for folder in _open.levels.pop():
+            _delete(spark, folder)
+
+
+def save(df: DataFrame, label: str, spent: Iterable[DataFrame] = (), keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` into the shared folder and read it back.
 
     The write's shuffle files go as soon as it ends, and so do ``spent``: tables from
-    here that nothing reads any more.
+    here that nothing reads any more.  ``keep``: the innermost ``scratch`` leaves it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    levels = _open.levels[:-1] if keep else _open.levels
+    if levels:
+        levels[-1].append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -45,5 +76,4 @@ def drop(*saved: DataFrame) -> None:
         within = shared_dir(spark).split("://")[-1].split(":")[-1]
         for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
             if within in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(spark, folder)
