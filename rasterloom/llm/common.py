@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.storage import drop, save  # noqa: F401
+from rasterloom.storage import drop, save, scratch  # noqa: F401
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -27,6 +28,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def blocks(rows: DataFrame, text: str, most: int) -> Iterator[list[Row]]:
+    """The rows in their order, so many at a time as have ``most`` bytes of text; a longer text alone."""
+    held, size = [], 0
+    for row in rows.toLocalIterator():
+        more = len((row[text] or "").encode())
+        if held and size + more > most:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += more
+    if held:
+        yield held
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, lengthened until none of the frames has a column of that name."""
     taken = {c.lower() for df in frames for c in df.columns}

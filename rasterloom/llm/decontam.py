@@ -1,15 +1,15 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 A document leaks an item of n words if some passage of it, of whatever length, is
-within word edit distance floor(n / 4) of the item (similarity of 0.75 or more), so a
-dropped or inserted word costs one edit.  Words are runs of letters, digits and
+within word edit distance floor(n * ``max_share``) of the item (by default a quarter, which
+is a similarity of 0.75 or more), so a dropped or inserted word costs one edit.  Words are runs of letters, digits and
 underscores, lower-cased.
 
 1. *Windows.*  Each item is cut into windows of a size that its length gives (a power of
    two up to ``SPAN``), overlapping by half; where the item has d edits, some window has
    no more than its share.  Windows of documents are looked at only where enough grams
-   of any items of that size lie: a window of s words with s / 4 edits keeps
-   s - q + 1 - q * (s / 4) of its q-grams.  This mask doesn't say which item.
+   of any items of that size lie: a window of s words with e edits keeps
+   s - q + 1 - q * e of its q-grams.  This mask doesn't say which item.
 2. *CGK.*  ``WALKS`` random walks read a window: at each step a walk emits its word and
    moves on by a bit of a hash of (walk, step, word).  Walks of two texts fall into step
    again after an edit, so few edits leave many equal places (Hamming distance).
@@ -22,9 +22,11 @@ underscores, lower-cased.
 4. *Verification.*  From d words before to d words after a candidate start, semi-global
    edit distance (the whole item, ends free in the document) decides.
 
-Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text; a larger benchmark
-takes more blocks, each another column over the same scan, never a larger broadcast.
-Nothing is shuffled.
+Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text (a longer item alone),
+cut by a running sum; a larger benchmark takes more blocks, never a larger broadcast.  A
+worker process builds a block's tables once, whatever number of tasks it runs.  ``KEPT``
+blocks are looked at in one pass; the texts are written between passes.  Nothing is
+shuffled.
 
 Defined cases: null and empty texts and items leak nothing; repeated items are
 reported each; a document reports each item once: the smallest distance of a window of
@@ -35,8 +37,8 @@ other columns pass through.
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections import defaultdict
 from itertools import repeat
 
@@ -45,9 +47,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import fresh
+from rasterloom.llm.common import blocks, fresh, save
 
 BLOCK_BYTES = 4_000_000
+#: Blocks whose tables a process keeps, which is as many as one pass over the documents looks at.
+KEPT = 3
+#: The largest share of edits for which the tables were measured.
+MOST_SHARE = 0.4
 CELLS = 1 << 18  # words that are compared with an item at a time
 #: Words of the largest window, walks, and sampled sets of steps for each walk.
 SPAN, WALKS, SETS, SEED = 64, 12, 24, 20_240_229
@@ -86,10 +92,10 @@ def passages(item: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Scale:
     """The hash tables of the item windows of one size."""
 
-    def __init__(self, size: int, rng: np.random.Generator):
-        self.size, edits = size, size // 4
+    def __init__(self, size: int, rng: np.random.Generator, max_share: float):
+        self.size, self.edits = size, int(size * max_share)
         #: for each gram length, how many of its grams a window keeps at least
-        self.least = {q: size - q + 1 - q * edits for q in (1, 2, 3) if size - q + 1 - q * edits > 0}
+        self.least = {q: size - q + 1 - q * self.edits for q in (1, 2, 3) if size - q + 1 - q * self.edits > 0}
         self.steps = max(size, 3 * min(size, 8) // 2)  # a walk moves on at every second step
         picked = min(3, max(1, size.bit_length() - 1))  # steps in a set
         # one step from each of as many stretches
@@ -132,7 +138,7 @@ class Items:
             self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in said], np.int64))
             self.edits.append(int(n * max_share))
             size = min(SPAN, 1 << (n.bit_length() - 1))
-            scale = self.scales.setdefault(size, Scale(size, rng))
+            scale = self.scales.setdefault(size, Scale(size, rng, max_share))
             scale.windows += [(len(self.items) - 1, o) for o in sorted({*range(0, n - size, max(1, size // 2)), n - size})]
         # the walks' bits, by word and step
         lanes = -(-3 * SPAN // 2 // 64)
@@ -183,7 +189,7 @@ class Items:
                 return np.zeros(0, np.int64)
             many = np.concatenate([[0], np.cumsum(hit)])
             begin = np.minimum(np.arange(len(symbols)), len(gram))
-            fit &= many[np.minimum(begin + scale.size + scale.size // 4 - q + 1, len(gram))] - many[begin] >= least
+            fit &= many[np.minimum(begin + scale.size + scale.edits - q + 1, len(gram))] - many[begin] >= least
         return np.flatnonzero(fit)
 
     def candidates(self, texts: list[np.ndarray]) -> list[dict[int, np.ndarray]]:
@@ -274,36 +280,51 @@ class Items:
 
 LEAKS = "array<struct<item_id:bigint,distance:int,n_words:int,start:int>>"
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("n_words", pa.int32()), ("start", pa.int32())]))
-_built: dict[int, Items] = {}
+#: The tables that this process has built, by block.  Only functions found by name share it between tasks.
+_built: dict[str, Items] = {}
+
+
+def _items(name: str, block, max_share: float) -> Items:
+    if name not in _built:
+        while len(_built) >= KEPT:
+            _built.pop(next(iter(_built)))
+        _built[name] = Items(list(block.value), max_share)
+    return _built[name]
+
+
+def _leaks(name: str, block, max_share: float, texts: pa.Array) -> pa.Array:
+    items = _items(name, block, max_share)
+    got = items.leaks(texts.to_pylist())
+    return pa.array([[{"item_id": items.ids[i], "distance": d, "n_words": len(items.items[i]), "start": b} for i, d, b in row] for row in got], _ARROW)
 
 
 def _finder(block, max_share: float):
+    name = uuid.uuid4().hex
+
     def find(texts: pa.Array) -> pa.Array:
-        rows = block.value
-        key = hash((rows, max_share))
-        if key not in _built:
-            _built.clear()
-            _built[key] = Items(list(rows), max_share)
-        items = _built[key]
-        got = items.leaks(texts.to_pylist())
-        return pa.array([[{"item_id": items.ids[i], "distance": d, "n_words": len(items.items[i]), "start": b} for i, d, b in row] for row in got], _ARROW)
+        return _leaks(name, block, max_share, texts)
 
     find.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(find, LEAKS).asNondeterministic()  # else a filter on its result runs it twice
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.25, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "leaks") -> DataFrame:
-    """``docs`` plus an array of the benchmark items that each text leaks."""
-    rows = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / (BLOCK_BYTES / 2)))
-    columns = []
-    for b in range(blocks):
-        mine = rows.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        got = tuple(sorted(((r.id, r.text) for r in mine.collect()), key=repr))
-        block = docs.sparkSession.sparkContext.broadcast(got)
-        columns.append(_finder(block, max_share)(F.col(text)))
-    return docs.withColumn(out, columns[0] if blocks == 1 else F.concat(*columns))
+def with_leaks(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.25, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "leaks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` plus an array of the benchmark items that each text leaks; a column of that name is replaced."""
+    if not 0 <= max_share <= MOST_SHARE:
+        raise ValueError(f"the tables find passages with up to {MOST_SHARE} of an item's words as edits")
+    rows = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text")).filter("text is not null")
+    made, columns, names = docs, [], []
+    for k, block in enumerate(blocks(rows.orderBy("id", "text"), "text", block_bytes)):
+        got = tuple(sorted(((r.id, r.text) for r in block), key=repr))
+        if k and k % KEPT == 0:  # what a process keeps serves one pass
+            made = save(made.select("*", *(c.alias(n) for c, n in zip(columns, names[-len(columns) :], strict=True))), "op5-pass")
+            columns = []
+        columns.append(_finder(docs.sparkSession.sparkContext.broadcast(got), max_share)(F.col(text)))
+        names.append(fresh(f"__leaks{k}", docs))
+    if not names:
+        return docs.withColumn(out, F.array().cast(LEAKS))
+    made = made.select("*", *(c.alias(n) for c, n in zip(columns, names[-len(columns) :], strict=True)))
+    return made.withColumn(out, F.concat(*names) if len(names) > 1 else F.col(names[0])).drop(*names)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:

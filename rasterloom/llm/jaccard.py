@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import shingles
-from rasterloom.llm.common import drop, fresh, save
+from rasterloom.llm.common import drop, fresh, save, scratch
 from rasterloom.llm.graph import components
 
 #: Groups of the tree's points (log2), shingles to a group at most, children of a box.
@@ -408,6 +408,11 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", mi
 
     ``miss``: see the prefixes above; infinite for prefixes that can't miss.
     """
+    with scratch(docs.sparkSession):
+        return save(_near_duplicates(docs, doc, text, miss), "op6-components", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, doc: str, text: str, miss: float) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
     made = save(_signatures(rows), "op6-signed")

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import mix64, save
+from rasterloom.llm.common import mix64, save, scratch
 from rasterloom.llm.words import Letters, Words, chunks
 
 #: Words between blanks and tabs, in pieces that punctuation or a line break ends.
@@ -374,6 +374,11 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int
     A candidate of which ``inside`` percent and more lie in one longer candidate is left out.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    with scratch(docs.sparkSession):
+        return save(_ranked(rows, least, top, inside, listed, split), "op12-ranked", keep=True)
+
+
+def _ranked(rows: DataFrame, least: int, top: int, inside: int, listed: int, split: int) -> DataFrame:
     words, found = _candidates(rows, least, listed, split)
     totals = words.filter("key is null").select(F.col("lang"), F.col("n").alias("total"))
     names = words.filter("key is not null").select("key", "lang", "word", "n")

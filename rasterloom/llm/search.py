@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import save
+from rasterloom.llm.common import blocks, save
 from rasterloom.llm.words import Letters, chunks, whole
 
 LETTERS = Letters.between(bytes(x for x in range(128) if not chr(x).isalnum()))
@@ -223,26 +223,13 @@ def _scored(index: DataFrame, scorer) -> DataFrame:
     return rows.repartition("window", "part").sortWithinPartitions("window").select("docs", "packed").mapInArrow(scan, "q long, doc_id long, score long")
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list]:
-    """Items in order, so many at a time as their texts allow."""
-    held, size = [], 0
-    for row in items.orderBy("item_id", "text").toLocalIterator():
-        if held and size + len(row.text) > block_bytes:
-            yield held
-            held, size = [], 0
-        held.append(row)
-        size += len(row.text)
-    if held:
-        yield held
-
-
 def search(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: int = BLOCK_BYTES, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each item."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
     asked = items.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null").distinct()
     made = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    for block in _blocks(asked, block_bytes):
+    for block in blocks(asked.orderBy("item_id", "text"), "text", block_bytes):
         hashes, border = whole(pa.array([r.text for r in block], pa.string()), LETTERS)
         terms = Terms(hashes)
         index = save(_index(rows, spark.sparkContext.broadcast(terms)), "op13-index")

@@ -13,13 +13,12 @@ import numpy as np
 import pyarrow as pa
 
 from rasterloom.llm.common import mix64
+from rasterloom.llm.words import hashes
 
 WORDS = 5
 #: Bytes of text hashed at once; a longer text is hashed alone.
 CHUNK = 250_000
 _rng = np.random.default_rng(20_240_514)
-_LETTER = _rng.integers(1, 2**63, 256, np.uint64)
-_LETTER[65:91] = _LETTER[97:123]
 _PLACE = _rng.integers(1, 2**63, WORDS + 1, np.uint64) | np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -39,17 +38,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _chunk(raw: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
     """The sets of consecutive texts; ``ends`` are their borders in ``raw``."""
     n = len(raw)
-    up, down = _power(n)
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LETTER[raw] * up, out=sums[1:])
         said = ~_BLANK[raw]
         edge = np.zeros(n + 1, bool)
         edge[ends] = True
         before = np.concatenate([[False], said[:-1]]) & ~edge[:-1]
         behind = np.concatenate([said[1:], [False]]) & ~edge[1:]
         start, stop = np.flatnonzero(said & ~before), np.flatnonzero(said & ~behind) + 1
-        word = mix64((sums[stop] - sums[start]) * down[start])
+        word = hashes(raw, start, stop)
         runs = np.zeros(max(0, len(word) - WORDS + 1), np.uint64)
         for i in range(WORDS):
             runs += word[i : i + len(runs)] * _PLACE[i]
