@@ -15,20 +15,45 @@ SKIPPED = ["keyframes", "depth", "confidence", "cameras", "corrected_cameras", "
 SKIPPED_FILES = [".DS_Store", "thumbnail.jpg", "polycam.mp4", "ceiling_geometry.json", "ceiling_geometry_preview.png", "roomplan.json"]
 
 
+#: Lines that one window looks at; longer files carry sums and the last material from part to part.
+PART = 1 << 16
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, lineno, line) of text files."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    rows = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("lineno", "line"))
-    return rows.withColumn("lineno", F.col("lineno").cast("long"))
+    """(file, lineno, line) of text files, read in splits.
+
+    A split is read in order by one task, so a line's number is the number of lines in the
+    file's earlier splits plus its place in its own.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", "\r$", "").alias("line"))
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    splits = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("before", F.coalesce(before, F.lit(0))).select("file", "split", "first", "before")
+    return rows.join(splits, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("lineno"), "line")
+
+
+def _parted(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("__part", F.floor(F.col("lineno") / F.lit(PART)))
 
 
 def _tokens() -> Column:
     return F.split(F.trim(F.col("line")), r"\s+")
 
 
-def _numbered(lines: DataFrame, word: str) -> DataFrame:
-    rows = lines.withColumn("t", _tokens()).filter(F.element_at("t", 1) == word)
-    return rows.withColumn("id", (F.row_number().over(Window.partitionBy("file").orderBy("lineno")) - 1).cast("long"))
+def _numbered(lines: DataFrame, word: str, by: str = "id") -> DataFrame:
+    """Lines that begin with ``word``, numbered by ``id`` from 0 in file order."""
+    rows = _parted(lines).withColumn("t", _tokens()).filter(F.element_at("t", 1) == word)
+    return _ordered(rows, ["lineno"], by)
+
+
+def _ordered(rows: DataFrame, order: list[str], by: str) -> DataFrame:
+    """Adds the place in the file: the rows of earlier parts plus the place in the part."""
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    base = rows.groupBy("file", "__part").agg(F.count("*").alias("n")).select("file", "__part", F.coalesce(before, F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy("file", "__part").orderBy(*order)) - 1
+    return rows.withColumn("__in", within).join(base, ["file", "__part"]).withColumn(by, F.col("__base") + F.col("__in")).drop("__part", "__base", "__in")
 
 
 def vertices(lines: DataFrame) -> DataFrame:
@@ -55,9 +80,13 @@ def faces(lines: DataFrame) -> DataFrame:
     """
     from rasterloom.operators.mesh import fan
 
-    rows = lines.withColumn("w", _tokens()).filter(F.element_at("w", 1).isin("f", "usemtl"))
-    order = Window.partitionBy("file").orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("name", F.last(F.when(F.element_at("w", 1) == "usemtl", F.element_at("w", 2)), ignorenulls=True).over(order))
+    rows = _parted(lines).withColumn("w", _tokens()).filter(F.element_at("w", 1).isin("f", "usemtl"))
+    said = F.when(F.element_at("w", 1) == "usemtl", F.element_at("w", 2))
+    upto = Window.partitionBy("file", "__part").orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("file").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("file", "__part").agg(F.max_by(said, F.when(said.isNotNull(), F.col("lineno"))).alias("__end"))
+    ends = ends.select("file", "__part", F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+    rows = rows.withColumn("__said", F.last(said, ignorenulls=True).over(upto)).join(ends, ["file", "__part"]).withColumn("name", F.coalesce("__said", "__carried")).drop("__said", "__carried")
     rows = rows.filter(F.element_at("w", 1) == "f").join(materials(lines), ["file", "name"], "left").withColumn("mat", F.coalesce("mat", F.lit(-1)))
 
     def corner(word: Column) -> Column:
@@ -67,7 +96,7 @@ def faces(lines: DataFrame) -> DataFrame:
         return F.struct(v.alias("v"), t.alias("t"))
 
     rows = rows.withColumn("polygon", F.transform(F.slice("w", F.lit(2), F.size("w") - 1), corner))
-    tri = fan(rows, "polygon").withColumn("fid", (F.row_number().over(Window.partitionBy("file").orderBy("lineno", "part")) - 1).cast("long"))
+    tri = _ordered(fan(rows, "polygon"), ["lineno", "part"], "fid")
     corners = F.col("v")
     return tri.select("file", "fid", "lineno", "part", F.transform(corners, lambda c: c["v"]).alias("v"), F.transform(corners, lambda c: c["t"]).alias("t"), "mat")
 
