@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as geo
 from rasterloom.functions import labels as text
-from rasterloom.operators import contract, documents, heights, mesh, raster, render, scoring, segment
+from rasterloom.operators import contract, distance, documents, heights, mesh, raster, render, scoring, segment
 from rasterloom.plans.adapters import FACES, OBJ, PIXELS, faces, obj_lines, pixels, scans
 from rasterloom.sources import scans as source
 
@@ -463,6 +463,65 @@ def nearest_fill_sparse(spark, sf_dir):
     return raster.nearest_fill(pixels(spark, sf_dir).withColumn("label", label)).withColumn("label", F.col("label").cast("int"))
 
 
+#: A triangle for each supplier, dealt over the four quarters of a scan.
+TRIANGLES = """tg as (select (s_suppkey % 4)::int as session_id, s_suppkey as region, (s_suppkey * 37 % 50 + 0.25)::double as au, (s_suppkey * 61 % 50 + 0.5)::double as av, (s_suppkey * 37 % 50 + s_suppkey % 7 + 0.75)::double as bu, (s_suppkey * 61 % 50 + 1)::double as bv, (s_suppkey * 37 % 50 + 2)::double as cu, (s_suppkey * 61 % 50 + s_suppkey % 5 + 2.5)::double as cv from supplier),
+sg as (select session_id, region, au, av, bu, bv from tg union all select session_id, region, bu, bv, cu, cv from tg union all select session_id, region, cu, cv, au, av from tg)"""
+
+
+@query(
+    f"""with {PIXELS}, {TRIANGLES}, hl as (select distinct (2 * (v // 50) + u // 50)::int as session_id, u % 50 as u, v % 50 as v from px where y_mm is null),
+pt as (select session_id, u, v, region, au, av, bu - au as du, bv - av as dv from hl join sg using (session_id)),
+tt as (select *, case when du * du + dv * dv = 0 then 0 else greatest(0::double, least(1::double, ((u::double - au) * du + (v::double - av) * dv) / (du * du + dv * dv))) end as t from pt),
+dd as (select session_id, u, v, region, u::double - (au + t * du) as x, v::double - (av + t * dv) as y from tt)
+select session_id, u, v, arg_min(region, (x * x + y * y, region)) as region, round(min(x * x + y * y), 6) as d2 from dd group by session_id, u, v"""
+)
+def nearest_polygon(spark, sf_dir):
+    holes = pixels(spark, sf_dir).filter("y_mm is null").selectExpr("cast(2 * (v div 50) + u div 50 as int) session_id", "u % 50 u", "v % 50 v").distinct()
+    corner = lambda u, v: F.struct(F.expr(f"cast({u} as double)").alias("u"), F.expr(f"cast({v} as double)").alias("v"))
+    u, v = "s_suppkey * 37 % 50", "s_suppkey * 61 % 50"
+    poly = F.array(corner(f"{u} + 0.25", f"{v} + 0.5"), corner(f"{u} + s_suppkey % 7 + 0.75", f"{v} + 1"), corner(f"{u} + 2", f"{v} + s_suppkey % 5 + 2.5"))
+    shapes = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.expr("cast(s_suppkey % 4 as int)").alias("session_id"), F.col("s_suppkey").alias("region"), poly.alias("poly"))
+    return distance.nearest_polygon(holes, shapes).withColumn("d2", F.round("d2", 6))
+
+
+@query("select (e.user_id % 50) as session_id, (e.user_id % 17)::int as label from events e where not exists (select 1 from orders o where o.o_custkey % 50 = e.user_id % 50 and o.o_custkey % 11 = e.user_id % 17) group by all")
+def unmatched_labels(spark, sf_dir):
+    """Labels 11 to 16 have no partner at all."""
+    a = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id % 50 session_id", "cast(user_id % 17 as int) label")
+    b = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey % 50 session_id", "cast(o_custkey % 11 as int) label").distinct()
+    return scoring.unmatched(a, b, "label")
+
+
+#: Scans of 50 by 50 pixels, so that small tables hold several too.
+QUARTERS = PIXELS + ", qx as (select session_id * 4 + 2 * (v // 50) + u // 50 as session_id, u % 50 as u, v % 50 as v, plane, y_mm from px)"
+
+
+def _quarters(spark, sf_dir):
+    rows = pixels(spark, sf_dir)
+    scan = F.expr("session_id * 4 + 2 * (v div 50) + u div 50")
+    return rows.select(scan.alias("session_id"), (F.col("u") % 50).alias("u"), (F.col("v") % 50).alias("v"), "plane", "y_mm")
+
+
+@query(f"with {QUARTERS}, sn as (select * from qx where y_mm is not null and (u * v) % 3 = session_id % 3) select p.session_id, p.u, p.v, (select arg_min(s.plane, ((s.u - p.u) ^ 2 + (s.v - p.v) ^ 2, s.v, s.u)) from sn s where s.session_id = p.session_id)::int as label from qx p")
+def nearest_fill_scans(spark, sf_dir):
+    label = F.when(F.col("y_mm").isNotNull() & ((F.col("u") * F.col("v")) % 3 == F.col("session_id") % 3), F.col("plane"))
+    return raster.nearest_fill(_quarters(spark, sf_dir).withColumn("label", label))
+
+
+@query(
+    f"with {QUARTERS}, lq as materialized (select session_id, u as nu, v as nv, (plane + (u * v + session_id) % 3)::int as label from qx), sq as materialized (select session_id, u, v, least(greatest(u + du, 0), 49) as nu, least(greatest(v + dv, 0), 49) as nv from qx, {NEIGHBOURS}) "
+    "select session_id, u, v, quantile_disc(label, 0.5)::int as label from sq join lq using (session_id, nu, nv) group by session_id, u, v"
+)
+def median_filter_scans(spark, sf_dir):
+    rows = _quarters(spark, sf_dir).select("session_id", "u", "v", F.expr("cast(plane + (u * v + session_id) % 3 as int)").alias("label"))
+    return raster.median_filter(rows, "label", 3)
+
+
+@query(f"with {QUARTERS}, mk as (select session_id, u, v from qx where y_mm is null), d as (select distinct session_id, u + du as u, v + dv as v from mk, {DISC}) select session_id, (u - du)::int as u, (v - dv)::int as v from d, {DISC} group by 1, 2, 3 having count(*) = (select count(*) from {DISC})")
+def close_scans(spark, sf_dir):
+    return raster.close(_quarters(spark, sf_dir).filter("y_mm is null"), raster.disc(4))
+
+
 #: Three layers of tint over a base colour.
 LAYERS = "ly as (select session_id, u, v, 0 as layer, plane * 60 as r, 10 as g, 20 as b, 0.5::double as alpha from px where u < 70 union all select session_id, u, v, 1, 200, plane * 30, 40, 0.25::double from px where v >= 30 union all select session_id, u, v, 2, 5, 250, plane * 20, 0.75::double from px where (u + v) % 3 = 0)"
 OVER = "case when (u + v) % 3 = 0 then 0.75 else 0 end"
