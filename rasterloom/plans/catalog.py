@@ -509,7 +509,7 @@ def nearest_fill_scans(spark, sf_dir):
 
 
 @query(
-    f"with {QUARTERS}, lq as materialized (select session_id, u as nu, v as nv, (plane + (u * v + session_id) % 3)::int as label from qx), sq as materialized (select session_id, u, v, least(greatest(u + du, 0), 49) as nu, least(greatest(v + dv, 0), 49) as nv from qx, {NEIGHBOURS}) "
+    f"with {QUARTERS}, lq as materialized (select session_id, u as nu, v as nv, (plane + (u * v + session_id) % 3)::int as label from qx), bq as (select session_id, min(u) as u0, max(u) as u1, min(v) as v0, max(v) as v1 from qx group by session_id), sq as materialized (select session_id, u, v, least(greatest(u + du, u0), u1) as nu, least(greatest(v + dv, v0), v1) as nv from qx join bq using (session_id), {NEIGHBOURS}) "
     "select session_id, u, v, quantile_disc(label, 0.5)::int as label from sq join lq using (session_id, nu, nv) group by session_id, u, v"
 )
 def median_filter_scans(spark, sf_dir):
