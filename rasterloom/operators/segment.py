@@ -93,59 +93,42 @@ def segment_ceiling(faces: DataFrame, ppm: float = 100.0, max_tilt: float = 30.0
     return regions(given, ppm, close_m, least_m2, key).join(found.select(key, "cluster", "y"), [key, "cluster"])
 
 
-def outlines(labels: DataFrame, eps: float, key: str = KEY) -> DataFrame:
-    """(key, label, shell, holes): each label's largest component as a polygon in pixels."""
-    kind = labels.schema[key].dataType.simpleString()
-    point = "array<struct<u:int,v:int>>"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        u0, v0 = pdf["u"].min(), pdf["v"].min()
-        mask = np.zeros((pdf["v"].max() - v0 + 1, pdf["u"].max() - u0 + 1), bool)
-        mask[pdf["v"] - v0, pdf["u"] - u0] = True
-        shell, holes = kernels.outlines(mask, eps)
-        said = [[{"u": int(a + u0), "v": int(b + v0)} for a, b in ring] for ring in (shell, *holes)]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "label": [pdf["label"].iloc[0]], "shell": [said[0]], "holes": [said[1:]]})
-
-    rows = labels.filter(F.col("label") >= 0).select(key, "u", "v", "label")
-    return rows.groupBy(key, "label").applyInPandas(solve, f"{key} {kind}, label int, shell {point}, holes array<{point}>")
-
-
-def periodic(pairs: DataFrame, ppm: float, key: str = KEY) -> DataFrame:
-    """(key, a, b, kind, pitch_m, angle, strength) of region pairs that alternate.
+def auto_detect(pixels: DataFrame, y: str, width: int, separation: int, kernel: int, least_area: int, least_cover: float = 0.4, most: int = 5, key: str = KEY) -> DataFrame:
+    """(key, u, v, label, region): planes found, cleaned and cut into regions.
 
-    ``pairs``: (key, a, b, u, v, in_a, in_b) over the common box of two regions.
+    Peaks, nearest plane, nearest fill, median; components under the least area or
+    cover are absorbed by the nearest kept one of their plane, where there is none by the
+    nearest of any plane.  Region 0 is the largest of its scan, the others follow by area.
     """
-    kind = pairs.schema[key].dataType.simpleString()
+    return detected(pixels, y, width, separation, kernel, least_area, least_cover, most, key)[0].drop("plane")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = pdf["u"] - pdf["u"].min(), pdf["v"] - pdf["v"].min()
-        low, high = (np.zeros((v.max() + 1, u.max() + 1), bool) for _ in range(2))
-        low[v, u], high[v, u] = pdf["in_a"], pdf["in_b"]
-        got = kernels.periodic(low, high, ppm)
-        row = {key: pdf[key].iloc[0], "a": pdf["a"].iloc[0], "b": pdf["b"].iloc[0]}
-        return pd.DataFrame([row | got] if got else [], columns=[key, "a", "b", "kind", "pitch_m", "angle", "strength"])
-
-    return pairs.groupBy(key, "a", "b").applyInPandas(solve, f"{key} {kind}, a int, b int, kind string, pitch_m double, angle double, strength double")
 
+def detected(pixels: DataFrame, y: str, width: float, separation: float, kernel: int, least_area: int, least_cover: float, most: int, key: str = KEY) -> tuple[DataFrame, DataFrame]:
+    """The pixels (key, u, v, comp, region, plane) of ``auto_detect`` and the peaks (key, peak, y) of their planes.
 
-def auto_detect(pixels: DataFrame, y: str, width: int, separation: int, kernel: int, least_area: int, least_cover: float = 0.4, key: str = KEY) -> DataFrame:
-    """(key, u, v, label, region): planes found, cleaned and cut into regions.
-
-    Peaks, nearest plane, nearest fill, median; components under the least area or
-    cover are absorbed by the nearest kept one of their plane, else of any plane.
-    Region 0 is the largest of its scan, the others follow by area.
+    Scans where no component is kept, or nothing is seen, have no pixels.
     """
     rows = pixels.select(key, "u", "v", F.col(y).alias("y"))
-    found = heights.peaks(rows, "y", width, separation, key=key)
+    found = save(heights.peaks(rows, "y", width, separation, most=most, key=key), "peaks")
     labels = raster.nearest_fill(heights.assign(rows, found, "y", key), "label", key)
     clean = raster.median_filter(labels, "label", kernel // 2, key)
     comps = save(raster.components(save(clean, "clean"), "label", key).join(rows, [key, "u", "v"]), "comps")
     size = comps.groupBy(key, "label", "comp").agg(F.count("*").alias("area"), F.count("y").alias("seen"))
     size = size.withColumn("kept", (F.col("area") >= least_area) & (F.col("seen") / F.col("area") >= least_cover))
-    marked = comps.join(size.select(key, "comp", "kept"), [key, "comp"]).withColumn("region", F.when(F.col("kept"), F.col("comp")))
-    whole = save(raster.nearest_fill(marked, "region", key), "whole")
+    marked = save(comps.join(size.select(key, "comp", "kept"), [key, "comp"]).select(key, "u", "v", "label", F.when(F.col("kept"), F.col("comp")).alias("region")), "marked")
+
+    # once over the whole grid for each plane that has both kept and lost components
+    planes = marked.groupBy(key, F.col("label").alias("plane")).agg(F.count("region").alias("n"), F.count("*").alias("of")).filter("n > 0 and n < of").select(key, "plane")
+    names = planes.withColumn("layer", F.to_json(F.struct(key, "plane")))
+    layers = marked.join(names, key).select("layer", "u", "v", F.when(F.col("label") == F.col("plane"), F.col("region")).alias("label"))
+    filled = raster.nearest_fill(layers, "label", "layer")
+    filled = filled.join(names, "layer").select(key, "u", "v", F.col("plane").alias("label"), F.col("label").alias("own"))
+    marked = marked.join(filled, [key, "u", "v", "label"], "left").withColumn("region", F.coalesce("region", "own")).drop("own", "label")
+    whole = save(raster.nearest_fill(marked, "region", key).filter("label is not null"), "whole")
+
     regions = whole.groupBy(key, "label").agg(F.count("*").alias("n")).withColumn("region", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "label")) - 1)
-    return whole.join(regions, [key, "label"]).select(key, "u", "v", F.col("label").alias("comp"), "region")
+    regions = regions.join(size.select(key, F.col("comp").alias("label"), F.col("label").alias("plane")), [key, "label"])
+    return whole.join(regions.select(key, "label", "region", "plane"), [key, "label"]).select(key, "u", "v", F.col("label").alias("comp"), "region", "plane"), found
 
 
 def snap(masks: DataFrame, room: DataFrame, key: str = KEY) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as geo
 from rasterloom.functions import labels as text
-from rasterloom.operators import contract, distance, documents, heights, mesh, raster, render, scoring, segment
+from rasterloom.operators import contract, distance, documents, heights, mesh, outline, periodic, raster, render, scoring, segment
 from rasterloom.plans.adapters import FACES, OBJ, PIXELS, faces, obj_lines, pixels, scans
 from rasterloom.sources import scans as source
 
@@ -736,14 +736,54 @@ def snap(spark, sf_dir):
 @query()
 def contour(spark, sf_dir):
     labels = pixels(spark, sf_dir).select("session_id", "u", "v", F.col("plane").alias("label"))
-    return segment.outlines(labels, 1.0)
-
-
-@query()
+    return outline.of_labels(labels, 1.0)
+
+
+#: Masks of planes with their holes: pixels, sides and the Euler number from quads of pixels.
+FACTS = f"""with {QUARTERS}, mk as (select session_id, plane as label, u, v from qx where y_mm is not null),
+qd as (select session_id, label, u - du as u, v - dv as v, bit_or((1 << (2 * dv + du))::int) as q, count(*) as n from mk, (select unnest([0, 1]) as du), (select unnest([0, 1]) as dv) group by all),
+eu as (select session_id, label, (count(*) filter (where n = 1) - count(*) filter (where n = 3) - 2 * count(*) filter (where q in (6, 9))) // 4 as euler from (select session_id, label, u, v, bit_or(q) as q, sum(n) as n from qd group by all) group by all),
+sd as (select session_id, label, count(*) as pixels, sum(4 - (select count(*) from mk o where o.session_id = m.session_id and o.label = m.label and abs(o.u - m.u) + abs(o.v - m.v) = 1))::bigint as sides from mk m group by all)
+select session_id, label, pixels, sides, euler::bigint as euler from sd join eu using (session_id, label)"""
+
+
+@query(FACTS)
+def outline_facts(spark, sf_dir):
+    """What the rings of each plane's seen pixels add up to."""
+    masks = _quarters(spark, sf_dir).filter("y_mm is not null").select("session_id", F.col("plane").alias("label"), "u", "v")
+    sign = F.when(F.col("hole"), -1).otherwise(1)
+    found = outline.rings(masks, ["session_id", "label"]).groupBy("session_id", "label")
+    return found.agg(F.sum(sign * F.col("pixels")).alias("pixels"), F.sum("sides").alias("sides"), F.sum(sign).alias("euler"))
+
+
+#: Battens in strips of ten pixels, lattices, checks and slanted battens by scan, with the holes of the heights.
+STRIPES = "case session_id % 4 when 0 then u // 3 % 2 when 1 then case when u % 6 < 2 or v % 6 in (3, 4) then 1 else 0 end when 2 then (u // 4 + v // 4) % 2 else (u + v) // 4 % 2 end"
+STRIP = "case session_id % 4 when 0 then v // 10 else 0 end"
+COMPOSITE = f"""with {QUARTERS}, pr as (select session_id, ({STRIP})::int as a, u, v, y_mm is not null and s = 0 as in_a, y_mm is not null and s = 1 as in_b, session_id % 3 * 0.125::double as delta_y from (select *, {STRIPES} as s from qx)),
+bx as (select session_id, a, min(u) as u0, min(v) as v0, max(u) - min(u) + 1 as w, max(v) - min(v) + 1 as h, avg((in_a and not in_b)::int) as only_a, avg((in_b and not in_a)::int) as only_b, avg((in_a or in_b)::int) as either, count(*) filter (where in_a <> in_b) as n, max(delta_y) as delta_y from pr group by session_id, a),
+ok as materialized (select *, (session_id * 10 + a) * 1000000 as box from bx where w >= 8 and h >= 8 and n >= 64 and abs(delta_y) <= 0.4 and only_a >= 0.1 and only_b >= 0.1 and either >= 0.45),
+fd as materialized (select box, u, v, box + 1000 * v + u as spot, in_b::int - in_a::int as f, in_b::int - in_a::int - avg(in_b::int - in_a::int) over (partition by box) as x from pr join ok using (session_id, a)),
+en as (select box, sum(x * x) as e from fd group by box),
+mw as (select du, dv from (select unnest(range(-16, 17))::int as du), (select unnest(range(0, 17))::int as dv) where du * du + dv * dv <= 256 and (dv > 0 or du > 0)),
+mx as materialized (select box, spot + 1000 * dv + du as spot, du, dv, x from fd, mw),
+hf as materialized (select b.box, du, dv, round(sum(a.x * b.x) / any_value(e), 9) as c from mx a join fd b on a.spot = b.spot join en on en.box = b.box group by b.box, du, dv),
+cg as (select box, du, dv, c from hf union all select box, -du, -dv, c from hf),
+pk as materialized (select box, dv, du, c, sqrt((du * du + dv * dv)::double) as r from (select *, row_number() over (partition by box order by c desc, dv, du) as k from cg where du * du + dv * dv between 9 and 225) where k = 1 and c >= 0.35),
+pt as (select box, round_even(-t * dv / r, 0)::int as du, round_even(t * du / r, 0)::int as dv from pk, (select unnest(range(3, 16)) as t)),
+ac as (select box, max(c) as c from pt join cg using (box, du, dv) group by box),
+ln as (select box, t, (u0 + w // 2 + round_even(t * du / r, 0))::int as u, (v0 + h // 2 + round_even(t * dv / r, 0))::int as v from pk join ok using (box), (select unnest(range(-71, 72)) as t) where abs(t) <= floor(sqrt((w * w + h * h)::double))),
+tn as (select box, count(*) filter (where f <> before) as turns from (select box, f, lag(f) over (partition by box order by t) as before from ln join fd using (box, u, v) where f <> 0) group by box)
+select session_id, a, a + 1 as b, case when greatest(coalesce(ac.c, 0), 0) >= 0.6 * pk.c then 'grid' else 'linear' end as kind, round(r / 25, 6) as pitch_m, round(degrees(atan2(dv::double, du::double)), 6) as angle, round(pk.c, 6) as strength, round(greatest(coalesce(ac.c, 0), 0), 6) as across, delta_y, round(only_a, 6) as only_a, round(only_b, 6) as only_b, turns::bigint as turns
+from pk join ok using (box) join tn using (box) left join ac using (box) where turns >= 4"""
+
+
+@query(COMPOSITE)
 def periodic_composite(spark, sf_dir):
-    px = pixels(spark, sf_dir)
-    rows = px.select("session_id", F.lit(0).alias("a"), F.lit(1).alias("b"), "u", "v", F.expr("(u div 4 + v div 4) % 2 = 0").alias("in_a"), F.expr("(u div 4 + v div 4) % 2 = 1").alias("in_b"))
-    return segment.periodic(rows, 25.0)
+    rows = _quarters(spark, sf_dir).withColumn("s", F.expr(STRIPES.replace("//", "div"))).withColumn("a", F.expr(f"cast({STRIP.replace('//', 'div')} as int)"))
+    seen = F.col("y_mm").isNotNull()
+    rows = rows.select("session_id", "a", (F.col("a") + 1).alias("b"), "u", "v", (seen & (F.col("s") == 0)).alias("in_a"), (seen & (F.col("s") == 1)).alias("in_b"), (F.col("session_id") % 3 * F.lit(0.125)).alias("delta_y"))
+    found = periodic.composites(rows, 25.0)
+    return found.withColumns({c: F.round(c, 6) for c in ("pitch_m", "angle", "strength", "across", "only_a", "only_b")})
 
 
 def _segmentation(name: str) -> Query:
