@@ -67,7 +67,7 @@ def detect(
     room = save(pixels.filter("in_room").select(key, "u", "v", "y"), "room")
     counts = pixels.groupBy(key).agg(F.count_if("in_room").alias("room"), F.count(F.when(F.col("in_room"), F.col("y"))).alias("seen"))
     counts = save(counts, "counts")
-    good = room.join(counts.filter(F.col("seen") >= least_seen).select(key), key, "left_semi")
+    good = pixels.select(key, "u", "v", "y", "in_room").join(counts.filter(F.col("seen") >= least_seen).select(key), key, "left_semi")
     marked, found = segment.detected(good, "y", BIN, APART, odd(median_m, ppm), max(LEAST_PX, int(least_m2 * ppm * ppm)), least_cover, most, key)
     marked = save(marked, "regions")
 
@@ -112,8 +112,9 @@ def snap(plan: DataFrame, pixels: DataFrame, grid: DataFrame, ppm: float, key: s
     drawn = plan.filter("kind in ('main', 'region')").withColumn("region", F.when(F.col("kind") == "main", F.lit(0)).otherwise(F.col("id") + 1).cast("long"))
     drawn = save(drawn.select(key, "region", "id", "label", F.coalesce("notes", F.lit("")).alias("notes"), "polygon"), "drawn")
     heights_ = save(pixels.select(key, "u", "v", "y", "in_room"), "heights")
-    claimed = segment.snap(masks(drawn, grid, ppm, key), heights_.filter("in_room"), key).filter("region is not null")
-    claimed = claimed.withColumn("mask", F.to_json(F.struct(key, "region")))
+    # polygons reach into the room from outside too
+    claimed = segment.snap(masks(drawn, grid, ppm, key), heights_, key).filter("region is not null")
+    claimed = claimed.join(heights_.filter("in_room").select(key, "u", "v"), [key, "u", "v"]).withColumn("mask", F.to_json(F.struct(key, "region")))
     claimed = save(claimed, "claimed")
     closed = raster.close(claimed.select("mask", "u", "v"), raster.disc(odd(CLOSE, ppm) // 2), "mask", times=2)
     shapes = outline.largest(outline.rings(closed, ["mask"]), ["mask"], max(1.0, SNAPPED * ppm))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as geo
 from rasterloom.functions import labels as text
-from rasterloom.operators import contract, distance, documents, heights, mesh, outline, periodic, raster, render, scoring, segment
+from rasterloom.operators import compose, contract, distance, documents, heights, mesh, outline, periodic, raster, render, scoring, segment
 from rasterloom.plans.adapters import FACES, OBJ, PIXELS, faces, obj_lines, pixels, scans
 from rasterloom.sources import scans as source
 
@@ -733,6 +733,50 @@ def snap(spark, sf_dir):
     return segment.snap(masks, px)
 
 
+def _rooms(spark, sf_dir):
+    """Quarters of scans in metres, whole grids as rooms, and their frames: 16 pixels a metre, the corner at 8 m."""
+    rows = _quarters(spark, sf_dir).withColumns({"y": F.col("y_mm") / 1000.0, "in_room": F.lit(True)})
+    return rows, rows.select("session_id").distinct().withColumns({"max_x": F.lit(8.0), "max_z": F.lit(8.0)})
+
+
+#: Statistics of a plan's polygons from rows ``sn`` (session_id, region, y), the main being region 0.
+PLAN_STATS = """ss as (select session_id, region, round(avg(y), 9) as mean_y, round(stddev_pop(y), 6) as std_y, count(y) as n_valid, count(*) as n_total from sn group by all)
+select s.session_id, case when s.region = 0 then 'main' else 'region' end as kind, case when s.region > 0 then s.region - 1 end as id, s.mean_y, s.std_y, s.n_valid, s.n_total, case when s.region > 0 then round(s.mean_y - m.mean_y, 9) end as relative_y from ss s join ss m on m.session_id = s.session_id and m.region = 0"""
+
+
+def _plan_stats(rows):
+    return rows.select("session_id", "kind", "id", "mean_y", F.round("std_y", 6).alias("std_y"), "n_valid", "n_total", F.round("relative_y", 9).alias("relative_y"))
+
+
+@query(
+    f"""with {QUARTERS}, fq as materialized (select p.session_id, p.u, p.v, p.y_mm, case when p.y_mm is not null then p.plane else (select arg_min(s.plane, ((s.u - p.u) ^ 2 + (s.v - p.v) ^ 2, s.v, s.u)) from qx s where s.session_id = p.session_id and s.y_mm is not null) end::int as label from qx p),
+bq as (select session_id, min(u) as u0, max(u) as u1, min(v) as v0, max(v) as v1 from qx group by session_id),
+ng as (select session_id, u, v, least(greatest(u + du, u0), u1) as nu, least(greatest(v + dv, v0), v1) as nv from qx join bq using (session_id), (select unnest([-1, 0, 1]) as du), (select unnest([-1, 0, 1]) as dv)),
+md as (select g.session_id, g.u, g.v, quantile_disc(f.label, 0.5) as label from ng g join fq f on f.session_id = g.session_id and f.u = g.nu and f.v = g.nv group by all),
+ar as (select session_id, label, count(*) as n, min(v * 1048576 + u) as first from md group by all),
+rk as (select *, row_number() over (partition by session_id order by n desc, first) = 1 as main from ar),
+ix as (select *, case when main then 0 else row_number() over (partition by session_id, main order by label) end as region from rk),
+sn as (select session_id, region, case when abs(y_mm / 1000.0 - (2.4 + 0.15 * label)) <= 0.06 then y_mm / 1000.0 end as y from md join ix using (session_id, label) join fq using (session_id, u, v)), {PLAN_STATS}"""
+)
+def auto_detect_plan(spark, sf_dir):
+    rows, grid = _rooms(spark, sf_dir)
+    return _plan_stats(compose.detect(rows, grid, 16.0, least_edge=0.25, least_seen=100))
+
+
+@query(
+    f"""with {QUARTERS}, sn as (select session_id, case when u - (15 + session_id % 5) <= (30 + session_id % 7) - u then 0 else 1 end as region, y_mm / 1000.0 as y from qx), {PLAN_STATS}"""
+)
+def snap_plan(spark, sf_dir):
+    """A main from the left and a region from the right meet in the middle of the gap between them."""
+    rows, grid = _rooms(spark, sf_dir)
+    edge = rows.groupBy("session_id").agg(F.max("v").alias("v1"))
+    point = lambda u, v: F.struct((8.0 - u / 16).alias("x"), (8.0 - v / 16).alias("z"))
+    box = lambda a, b: F.array(point(a, F.lit(0)), point(b, F.lit(0)), point(b, F.col("v1")), point(a, F.col("v1")))
+    main = edge.select("session_id", F.lit("main").alias("kind"), F.lit(None).cast("long").alias("id"), F.lit("m").alias("label"), F.lit("").alias("notes"), box(F.lit(0), 15 + F.col("session_id") % 5).alias("polygon"))
+    region = edge.select("session_id", F.lit("region").alias("kind"), F.lit(0).cast("long").alias("id"), F.lit("r").alias("label"), F.lit("").alias("notes"), box(30 + F.col("session_id") % 7, F.lit(49)).alias("polygon"))
+    return _plan_stats(compose.snap(main.unionByName(region), rows, grid, 16.0))
+
+
 @query()
 def contour(spark, sf_dir):
     labels = pixels(spark, sf_dir).select("session_id", "u", "v", F.col("plane").alias("label"))

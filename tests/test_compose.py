@@ -70,3 +70,18 @@ def test_snap_tiles_the_room_and_keeps_names(spark, grid):
     assert {(round((10.0 - p.x) * PPM), round((8.0 - p.z) * PPM)) for p in main.polygon} == {(0, 0), (44, 0), (44, 59), (0, 59)}
     assert {(round((10.0 - p.x) * PPM), round((8.0 - p.z) * PPM)) for p in region.polygon} == {(45, 0), (79, 0), (79, 59), (45, 59)}
     assert region.std_y < 1e-6 and abs(region.mean_y - 2.75) < 1e-6 and 0.24 < region.relative_y < 0.25
+
+
+def test_rooms_of_any_shape(spark, grid):
+    # an L-shaped room: what lies outside it neither counts nor is claimed, heights there neither
+    room = "u < 30 or v >= 40"
+    y = "case when not (u < 30 or v >= 40) then 9 when v >= 40 then 2.8 when u = 12 and v between 10 and 12 then null else 2.5 end"
+    rows = scan(spark, 0, y, room)
+    got = compose.detect(rows, grid, PPM, least_edge=0.1, least_seen=500).orderBy("kind", "id").collect()
+    # outside counts as a plane above all others, so the median gives the inner corner's pixel to the main
+    assert [(r.kind, r.n_total) for r in got] == [("main", 80 * 20 + 1), ("region", 30 * 40 - 1)]
+    assert abs(got[0].mean_y - 2.8) < 1e-6 and abs(got[1].mean_y - 2.5) < 1e-6 and got[1].n_valid == 30 * 40 - 4
+    corners = lambda r: {(round((10.0 - p.x) * PPM), round((8.0 - p.z) * PPM)) for p in r.polygon}
+    # a ring's first pixel always stays
+    assert corners(got[0]) == {(29, 39), (0, 40), (79, 40), (79, 59), (0, 59)}
+    assert {(0, 0), (29, 0), (0, 39)} < corners(got[1]) and abs(area(got[1]) - 29 * 39 / PPM**2) < 0.1
