@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as geo
 from rasterloom.functions import labels as text
-from rasterloom.operators import compose, contract, distance, documents, heights, mesh, outline, periodic, raster, render, scoring, segment
+from rasterloom.operators import compose, contract, distance, documents, drawing, heights, mesh, outline, periodic, raster, render, scoring, segment
 from rasterloom.plans.adapters import FACES, OBJ, PIXELS, faces, obj_lines, pixels, scans
 from rasterloom.sources import scans as source
 
@@ -709,6 +709,40 @@ def hit_test(spark, sf_dir):
     return documents.hit_test(rows.select("id", "x", "z", F.lit("ell").alias("selected")), shapes, 0.7, "id")
 
 
+#: An L for each nation as its room, moved by the nation.
+NATION_ROOM = f"vn as (select n_nationkey::bigint as session_id, i, a[1]::double + n_nationkey % 7 as ax, a[2]::double as az, b[1]::double + n_nationkey % 7 as bx, b[2]::double as bz from nation, (select unnest(range(0, 6))::int as i, unnest({[list(p) for p in ELL]}) as a, unnest({[list(p) for p in ELL[1:] + ELL[:1]]}) as b))"
+
+
+def _drawn(spark, sf_dir):
+    """The plans of ``_plan``, those of even nations with notes, and rooms for all nations but every fifth."""
+    plan = _plan(spark, sf_dir)
+    notes = plan.filter("kind = 'main' and session_id % 2 = 0").select("session_id", F.concat(F.lit("note "), F.col("session_id").cast("string")).alias("notes"))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("session_id"))
+    moved = F.transform(geo.polygon(ELL), lambda p: F.struct((p["x"] + F.col("session_id") % 7).alias("x"), p["z"].alias("z")))
+    rooms = nations.filter("session_id % 5 <> 4").select("session_id", F.lit(None).cast("string").alias("label"), moved.alias("polygon"), F.lit(None).cast("double").alias("mean_y"))
+    return documents.set_single(documents.set_main_notes(plan, notes), "room", rooms)
+
+
+@query(
+    f"""with {PLAN}, {NATION_ROOM}, c as (select *, avg(ax) over (partition by session_id) as cx, avg(az) over (partition by session_id) as cz, sqrt((bx - ax) ^ 2 + (bz - az) ^ 2) as len from vn),
+n as (select *, -(bz - az) / len as nx, (bx - ax) / len as nz, (ax + bx) / 2 as mx, (az + bz) / 2 as mz, degrees(atan2(bz - az, bx - ax)) as turn from c where len >= 0.001),
+s as (select *, case when nx * (mx - cx) + nz * (mz - cz) < 0 then -1 else 1 end as side from n),
+al as (select session_id, 'dimension' as layer, i::bigint as item, round_even(len * 1000, 0)::bigint || ' mm' as text, round(mx + side * nx * 0.18, 6) as x, round(mz + side * nz * 0.18, 6) as z, round(case when turn > 90 then turn - 180 when turn < -90 then turn + 180 else turn end, 6) as angle, null as face, '#222' as edge from s
+union all select distinct session_id, 'room', null, null, null, null, null, null, '#222' from vn
+union all select p.session_id, 'shape', case when p.kind = 'region' then p.id end, p.label || chr(10) || case when p.kind = 'main' then '0 mm' when m.mean_y is null then '—' else case when p.mean_y >= m.mean_y then '+' else '−' end || round_even(abs(p.mean_y - m.mean_y) * 1000, 0)::bigint || ' mm' end || case when p.kind = 'main' and p.session_id % 2 = 0 then chr(10) || 'note ' || p.session_id else '' end,
+  {round(sum(p[0] for p in ROOM) / len(ROOM), 6)}::double, {round(sum(p[1] for p in ROOM) / len(ROOM), 6)}::double, 0::double, case when p.kind = 'main' then '#80cbc4' else {TINTS}[p.id % 10 + 1] end, case when p.kind = 'main' then '#00897b' else '#444' end from pl p left join pl m on m.session_id = p.session_id and m.kind = 'main')
+select * from al where session_id % 5 <> 4 and session_id in (select n_nationkey from nation)"""
+)
+def drawing_marks(spark, sf_dir):
+    rows = drawing.marks(_drawn(spark, sf_dir)).drop("polygon")
+    return rows.withColumns({c: F.round(c, 6) for c in ("x", "z", "angle")})
+
+
+@query(f"with {NATION_ROOM}, b as (select session_id, min(ax) - 0.5 as min_x, max(ax) + 0.5 as max_x, min(az) - 0.5 as min_z, max(az) + 0.5 as max_z from vn where session_id % 5 <> 4 group by session_id) select *, 'Reflected Ceiling Plan — session ' || session_id as title, 11::double as page_width, round(greatest(8.5, 11 / ((max_x - min_x) / (max_z - min_z))), 6) as page_height from b")
+def drawing_pages(spark, sf_dir):
+    return drawing.pages(_drawn(spark, sf_dir)).withColumn("page_height", F.round("page_height", 6))
+
+
 @query()
 def plan_json(spark, sf_dir):
     return documents.to_json(_plan(spark, sf_dir))
