@@ -10,7 +10,8 @@ shingles.  The steps, all over whole texts and without any cap:
 2. *Prefixes.*  Linked sets share their first common shingle within a prefix of each.
    A quarter of the set plus one always suffices; as hashes are random, so does a
    prefix in which a common shingle is missing with probability below exp(-``miss``),
-   by default 2^-48.  The shorter is taken; an infinite ``miss`` takes the sure one.
+   by default 2^-48: within the rare shingles, or all of these and some frequent ones.
+   The shorter is taken; an infinite ``miss`` takes the sure one.
    Shingles in the prefixes of two sets or more are the blocks that the tree works on;
    of blocks with the same members one goes on.
 3. *Points.*  Shingles are hashed into groups, 64 or one for each 4 to 8 shingles; the
@@ -26,6 +27,8 @@ shingles.  The steps, all over whole texts and without any cap:
    are dealt over several: first members of each component meet, and then whatever is
    not in the block's largest component meets the whole block, in a grid of tasks of
    bounded size.  After that every pair of every block is in one component or compared.
+   Sets carry the other blocks they go to in a round, and a pair is compared in the first
+   it has in common: texts cut from one template share nearly all their blocks.
 
 Defined cases: null and empty texts have no shingles and are their own component;
 rows with a null id take no part (null component); repeated rows link with each
@@ -50,8 +53,10 @@ from rasterloom.llm.graph import components
 LOW, PER_GROUP, FAN = 6, 8, 8
 #: Share of sets from which a shingle counts as frequent, and the least count.
 HOT, HOT_LEAST = 0.0005, 64
-#: Sets, and shingles of sets, in one block of one task.
-BLOCK, WEIGHT = 256, 4_000_000
+#: Sets, and shingles of sets, in one block of one task; sets of a block that points are compared in.
+BLOCK, WEIGHT, NEAR_BLOCK = 1024, 4_000_000, 256
+#: Sets from which a block's shingles are numbered, bytes of their bits, and pairs counted at once.
+NUMBERED, BITS, AT_ONCE = 8, 1 << 26, 64
 #: -log of the probability that a prefix misses: 48 binary digits.
 MISS = 48 * math.log(2)
 #: Entries of a task's counter before rare ones are dropped (lossy counting).
@@ -62,9 +67,13 @@ def prefix_length(size: int, hot: int, miss: float = MISS) -> int:
     """Shingles of the prefix, for a set of which ``hot`` shingles are frequent."""
     sure = size // 4 + 1
     rare = size - hot
-    if 4 * rare <= size or math.isinf(miss):
+    if math.isinf(miss):
         return sure
-    return min(sure, math.ceil(miss / math.log(4 * rare / size)))
+    if 4 * rare > size:
+        return min(sure, math.ceil(miss / math.log(4 * rare / size)))
+    # at worst all rare ones are missing, and of the frequent ones as many as a quarter of the set still allows
+    gone = size // 4 - rare
+    return min(sure, rare + (math.ceil(miss / math.log(hot / gone)) if gone > 0 else 1))
 
 
 def group_counts(items: np.ndarray) -> np.ndarray:
@@ -243,22 +252,62 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def link_block(sids: np.ndarray, sets: list[np.ndarray], comps: np.ndarray, seen: np.ndarray) -> list[tuple[int, int]]:
+def repeated_bits(sets: list[np.ndarray], most: float = math.inf) -> np.ndarray | None:
+    """A row of bits for each set, one bit for each item that several sets hold; None over ``most`` bytes."""
+    items, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(items, kind="stable")
+    new = np.ones(len(items), bool)
+    new[1:] = items[order][1:] != items[order][:-1]
+    number = np.cumsum(new) - 1
+    several = np.bincount(number, minlength=1) > 1
+    width = int(several.sum())
+    if len(sets) * width > 8 * most:
+        return None
+    held = several[number]
+    column, owner = (np.cumsum(several) - 1)[number[held]], owner[order][held]
+    step, parts = 1 << 16, []
+    for low in range(0, width, step):
+        start, end = np.searchsorted(column, [low, low + step])
+        bits = np.zeros((len(sets), (min(step, width - low) + 63) // 64 * 64), bool)
+        bits[owner[start:end], column[start:end] - low] = True
+        parts.append(np.packbits(bits, axis=1).view(np.uint64))
+    return np.concatenate(parts, axis=1) if parts else np.zeros((len(sets), 1), np.uint64)
+
+
+def link_block(sids: np.ndarray, sets: list[np.ndarray], comps: np.ndarray, seen: np.ndarray, others: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Stars (member, smallest) of the block's components that gained a link.
 
-    ``seen`` pairs are compared already.
+    ``seen`` pairs are compared already; pairs with one of ``others`` in common are left to it.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sids, comps, seen, sets = sids[order], comps[order].copy(), seen[order], [sets[i] for i in order]
-    tree, gained = CountTree([group_counts(x) for x in sets]), np.zeros(len(sets), bool)
+    away = repeated_bits([others[i] for i in order]) if others else np.zeros((len(sets), 1), np.uint64)
+    sizes, gained = np.array([len(x) for x in sets]), np.zeros(len(sets), bool)
+    tree = bits = None
     for i in range(1, len(sets)):
         other = (comps != comps[i]) & ((seen != seen[i]) | (seen == 0))
-        if not other[:i].any():
+        other[i:] = False
+        if other.any() and away[i].any():
+            other[other] = ~(away[other] & away[i]).any(axis=1)
+        if not other.any():
             continue
-        for j in tree.search(i, other):
-            if comps[j] != comps[i] and linked(sets[i], sets[j]):
+        if tree is None:
+            tree = CountTree([group_counts(x) for x in sets])
+            bits = repeated_bits(sets, BITS) if len(sets) >= NUMBERED else None
+        near, at_once = tree.search(i, other), 1
+        while len(near):
+            some, near = near[:at_once], near[at_once:]
+            if bits is None:
+                found = [j for j in some if linked(sets[i], sets[j])]
+            else:
+                both = np.bitwise_count(bits[some] & bits[i]).sum(axis=1, dtype=np.int64)
+                found = some[(both > 0) & (100 * both >= 75 * (sizes[i] + sizes[some] - both))]
+            for j in found:
                 comps[comps == comps[j]] = comps[i]
+            if len(found):
                 gained |= comps == comps[i]
+                near = near[comps[near] != comps[i]]
+            at_once = 1 if bits is None else AT_ONCE
     out = []
     for comp in np.unique(comps[gained]):
         members = sids[comps == comp]
@@ -282,7 +331,9 @@ def _near(rows: DataFrame) -> DataFrame:
             if len(held) > 1:
                 tree, every = CountTree([points[i] for i in order]), np.ones(len(held), bool)
                 for i in range(1, len(held)):
-                    found = tree.search(i, every)
+                    # what is near already only looks for what isn't yet
+                    other = ~near if near[i] else every
+                    found = tree.search(i, other) if other[:i].any() else []
                     if len(found):
                         near[i] = near[found] = True
             kept = order[near]
@@ -303,7 +354,7 @@ def _near(rows: DataFrame) -> DataFrame:
 
 
 def _link(rows: DataFrame) -> DataFrame:
-    """Links (a, b) inside the blocks (token, cell) of (sid, items, comp, seen)."""
+    """Links (a, b) inside the blocks (token, cell) of (sid, items, comp, seen, others)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -311,13 +362,13 @@ def _link(rows: DataFrame) -> DataFrame:
         def solve() -> pa.RecordBatch:
             links = []
             if len(held) > 1:
-                sids, items, comps, seen = zip(*held, strict=True)
+                sids, items, comps, seen, others = zip(*held, strict=True)
                 sets = [np.frombuffer(x, np.uint64) for x in items]
-                links = link_block(np.array(sids), sets, np.array(comps), np.array(seen))
+                links = link_block(np.array(sids), sets, np.array(comps), np.array(seen), [np.array(x, np.int64).view(np.uint64) for x in others])
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("token", "cell", "sid", "items", "comp", "seen")]
+            columns = [batch.column(c).to_pylist() for c in ("token", "cell", "sid", "items", "comp", "seen", "others")]
             for token, cell, *row in zip(*columns, strict=True):
                 if key != (token, cell):
                     yield solve()
@@ -326,10 +377,16 @@ def _link(rows: DataFrame) -> DataFrame:
                     held.append(row)
         yield solve()
 
-    dealt = rows.select("token", "cell", "sid", "items", "comp", "seen").repartition("token", "cell").sortWithinPartitions("token", "cell", "sid")
+    dealt = rows.select("token", "cell", "sid", "items", "comp", "seen", "others").repartition("token", "cell").sortWithinPartitions("token", "cell", "sid")
     return dealt.mapInArrow(scan, "a long, b long")
 
 
+def _others(rows: DataFrame) -> DataFrame:
+    """Adds ``others``, the lesser of the tokens that each row's set has in ``rows``."""
+    every = rows.groupBy("sid").agg(F.collect_set("token").alias("__all"))
+    return rows.join(every, "sid").withColumn("others", F.filter("__all", lambda t: t < F.col("token"))).drop("__all")
+
+
 def _cell(load: Column, of: str = "sid") -> Column:
     """The number of a row's cell, of as many as the block's ``load`` needs."""
     return F.pmod(F.xxhash64(of, F.lit(11)), F.ceil(load))
@@ -351,7 +408,7 @@ def links(docs: DataFrame, signed: DataFrame, hot, miss: float = MISS) -> DataFr
     blocks = save(_blocks(held), "op6-blocks")
     points = signed.groupBy("sid").agg(F.first("counts").alias("counts"), F.first("size").alias("size"))
     placed = save(held.join(blocks, "token"), "op6-placed", [held, blocks]).join(points, "sid")
-    near = _near(placed.filter(F.col("k") <= BLOCK)).unionByName(placed.filter(F.col("k") > BLOCK).select("token", "sid", "pos", "size"))
+    near = _near(placed.filter(F.col("k") <= NEAR_BLOCK)).unionByName(placed.filter(F.col("k") > NEAR_BLOCK).select("token", "sid", "pos", "size"))
     near = save(near, "op6-near")
     blocks = save(_blocks(near).select("token"), "op6-blocks")
     load = F.lit(1 / BLOCK) + F.col("size") / F.lit(WEIGHT)
@@ -364,7 +421,7 @@ def links(docs: DataFrame, signed: DataFrame, hot, miss: float = MISS) -> DataFr
     dealt = save(_sets(docs.join(wanted, "doc").select("sid", "token", "cell", "seen", "text")), "op6-sets")
     sets = dealt.select("sid", "items")
 
-    found = save(_link(dealt.withColumn("comp", F.col("sid")).withColumn("seen", F.lit(0).cast("long"))), "op6-links")
+    found = save(_link(dealt.withColumn("comp", F.col("sid")).withColumn("seen", F.lit(0).cast("long")).withColumn("others", F.array().cast("array<bigint>"))), "op6-links")
     # a set is in one cell so far: the stars are the components
     comps = found.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
@@ -384,7 +441,8 @@ def links(docs: DataFrame, signed: DataFrame, hot, miss: float = MISS) -> DataFr
     ends = save(ends.select("token", "comp", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).select("token", "comp", "end.*"), "op6-ends")
     parts = save(ends.groupBy("token").agg(F.sum("load").alias("k")), "op6-parts")
     ends = ends.join(parts, "token").withColumn("cell", _cell(F.col("k")))
-    met = few.select("token", "cell", "sid", "comp", "seen").unionByName(ends.select("token", "cell", "sid", "comp", F.lit(0).cast("long").alias("seen")))
+    # only blocks that compare all their pairs stand in for others
+    met = _others(few.select("token", "cell", "sid", "comp", "seen")).unionByName(_others(ends.select("token", "cell", "sid", "comp", F.lit(0).cast("long").alias("seen"))))
     found = found.unionByName(save(_link(met.join(sets, "sid")), "op6-links", [again]))
     comps = components(found)
 
@@ -397,7 +455,7 @@ def links(docs: DataFrame, signed: DataFrame, hot, miss: float = MISS) -> DataFr
         i, j = F.pmod(F.xxhash64("sid", F.lit(11)), F.col("across")), F.pmod(F.xxhash64("sid", F.lit(13)), F.col("down"))
         home = grid.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("down") - 1), lambda d: i * F.col("down") + d)))
         guest = grid.filter("comp <> main").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("across") - 1), lambda a: a * F.col("down") + j)))
-        met = home.unionByName(guest).select("token", "cell", "sid", "comp", F.lit(0).cast("long").alias("seen"))
+        met = _others(home.unionByName(guest).select("token", "cell", "sid", "comp", F.lit(0).cast("long").alias("seen")))
         comps = components(found.unionByName(save(_link(met.join(sets, "sid")), "op6-links")))
     drop(dealt, held, first)
     return comps
