@@ -302,17 +302,42 @@ def last_wins(pixels: DataFrame, order: str, keys: tuple[str, ...] = ("u", "v"))
     return pixels.groupBy(*keys).agg(F.max(order).alias(order))
 
 
+#: Side of the squares that boxes meet in, in pixels; boxes alike that meet in one group.
+SQUARE_PX, MEET = 16, 2048
+
+
 def region_pairs(regions: DataFrame, least: int = 8, key: str = KEY) -> DataFrame:
     """(key, a, b, u0, v0, u1, v1): regions of different clusters whose boxes share ``least`` pixels each way.
 
     ``regions``: (key, id, cluster, y, u0, v0, u1, v1), ends exclusive; the lower region is ``a``.
+
+    Regions of one box and cluster are one class.  Classes meet in the square that holds the
+    lower corner of what they share, so each pair of classes is found once; only those that
+    fit are then opened up, ``MEET`` by ``MEET`` regions in a group at most.  What is left to
+    grow with the square of the input is the result.
     """
-    box = ["id", "cluster", "y", "u0", "v0", "u1", "v1"]
-    a, b = (regions.select(key, *(F.col(c).alias(f"{n}_{c}") for c in box)) for n in "ab")
-    both = a.join(b, key).filter("a_cluster <> b_cluster and (a_y < b_y or (a_y = b_y and a_id < b_id))")
-    low, high = ([f(f"a_{c}", f"b_{c}") for c in pair] for f, pair in ((F.greatest, ("u0", "v0")), (F.least, ("u1", "v1"))))
-    both = both.select(key, F.col("a_id").alias("a"), F.col("b_id").alias("b"), low[0].alias("u0"), low[1].alias("v0"), high[0].alias("u1"), high[1].alias("v1"))
-    return both.filter((F.col("u1") - F.col("u0") >= least) & (F.col("v1") - F.col("v0") >= least))
+    box = ["cluster", "u0", "v0", "u1", "v1"]
+    pad = max(0, (2 - least) // 2)  # boxes that needn't touch are widened until they must
+    rows = regions.filter(" and ".join(f"{c} is not null" for c in [key, "y", *box])).hint("merge")
+    classes = rows.groupBy(key, *box).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / MEET).cast("int"))
+    squares = classes
+    for c in "uv":
+        first, last = F.col(f"{c}0") - pad, F.col(f"{c}1") + pad - 1
+        low, high = F.floor(first / SQUARE_PX), F.floor(last / SQUARE_PX)
+        squares = squares.filter(first <= last).withColumn(f"s{c}", F.explode(F.sequence(low, high)))
+    a, b = (squares.select(key, "su", "sv", *(F.col(c).alias(f"{n}_{c}") for c in [*box, "parts"])) for n in "ab")
+    low, high = ({c: f(f"a_{c}{e}", f"b_{c}{e}") for c in "uv"} for f, e in ((F.greatest, 0), (F.least, 1)))
+    met = a.join(b, [key, "su", "sv"]).filter("a_cluster <> b_cluster")
+    for c in "uv":
+        met = met.filter((high[c] - low[c] >= least) & (F.floor((low[c] - pad) / SQUARE_PX) == F.col(f"s{c}")))
+    part = lambda n: F.explode(F.sequence(F.lit(0), F.col(f"{n}_parts") - 1)).alias(f"{n}_part")
+    shared = [low["u"].alias("u0"), low["v"].alias("v0"), high["u"].alias("u1"), high["v"].alias("v1")]
+    met = met.select(key, *(f"{n}_{c}" for n in "ab" for c in box), *shared, part("a"), "b_parts").withColumn("b_part", part("b")).drop("b_parts")
+    dealt = rows.join(classes.select(key, *box, "parts"), [key, *box]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    for n in "ab":
+        side = dealt.select(key, *(F.col(c).alias(f"{n}_{c}") for c in [*box, "part", "id", "y"]))
+        met = met.join(side.hint("merge"), [key, *(f"{n}_{c}" for c in [*box, "part"])])
+    return met.filter("a_y < b_y or (a_y = b_y and a_id < b_id)").select(key, F.col("a_id").alias("a"), F.col("b_id").alias("b"), "u0", "v0", "u1", "v1")
 
 
 def fractions(pairs: DataFrame) -> DataFrame:
