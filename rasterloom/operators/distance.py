@@ -52,7 +52,9 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, cell: int = CELL, ke
 
     ``polygons``: key, region (0 is the main), poly; points without a polygon in their scan drop out.
     """
-    edges = _cells(segments(polygons, key), cell)
+    # of polygons with an edge in common only the lowest can win by it
+    ends = [key, "au", "av", "bu", "bv"]
+    edges = _cells(segments(polygons, key).groupBy(*ends).agg(F.min("region").alias("region")), cell)
     at = {f"c{c}": F.floor(F.col(c) / cell) for c in "uv"}
     placed = points.select(key, "u", "v").withColumns(at)
     mine, held = (df.select(key, "cu", "cv").distinct() for df in (placed, edges))

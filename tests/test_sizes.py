@@ -41,3 +41,10 @@ def test_boxes_alike_are_compared_once(spark):
     assert "a_cluster" in plan_text(made) and "parts" in plan_text(made)
 
 
+def test_shared_edges_go_once(spark):
+    shapes = spark.createDataFrame([(0, k, [(0.0, 0.0), (4.0, 0.0), (2.0, 3.0)]) for k in range(50)], "session_id int, region int, poly array<struct<u:double,v:double>>")
+    points = spark.createDataFrame([(0, u, v) for u in range(6) for v in range(6)], "session_id int, u int, v int")
+    assert {r.region for r in distance.nearest_polygon(points, shapes).collect()} == {0}
+    assert plan_text(distance.nearest_polygon(points, shapes)).count("min(region") >= 1
+
+
