@@ -265,36 +265,66 @@ def nearest_fill(df: DataFrame, label: str = "label", key: str = KEY) -> DataFra
     return lines.groupBy(key, "v").applyInPandas(solve, f"{key} {kinds[0]}, u {kinds[1]}, v {kinds[2]}, label {kinds[3]}")
 
 
+def _between(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.struct(low.cast("int").alias("a"), high.cast("int").alias("b")))
+
+
+def _down(a: Column, b: Column) -> Column:
+    """Whole division that rounds down; ``b`` is above 0."""
+    return F.floor(a.cast("long") / b.cast("long"))
+
+
+def _edge_run(e: Column) -> Column:
+    """The pixels (a, b) of an edge in line ``v``: of its points k = 0 to n, those that round to the line."""
+    a, du, dv = e["a"], e["b"]["u"] - e["a"]["u"], e["b"]["v"] - e["a"]["v"]
+    n, at = F.greatest(F.abs(du), F.abs(dv), F.lit(1)), (F.col("v") - a["v"]).cast("long")
+    up = F.greatest(F.abs(dv), F.lit(1))
+    # along u: the ks whose height rounds to ``at``
+    first = F.when(dv > 0, -_down(n - 2 * n * at, 2 * up)).when(dv < 0, _down(n - 2 * n * (at + 1), 2 * up) + 1)
+    last = F.when(dv > 0, -_down(n - 2 * n * (at + 1), 2 * up) - 1).when(dv < 0, _down(n - 2 * n * at, 2 * up))
+    first, last = (F.when(dv != 0, x).when(at == 0, y) for x, y in ((F.greatest(first, F.lit(0)), F.lit(0)), (F.least(last, n.cast("long")), F.abs(du))))
+    along = F.when(first <= last, F.when(du > 0, _between(a["u"] + first, a["u"] + last)).otherwise(_between(a["u"] - last, a["u"] - first)))
+    # steeper: one pixel a line
+    one = a["u"] + _down(2 * at * F.signum(dv).cast("int") * du + n, 2 * n)
+    within = (F.col("v") >= F.least(a["v"], e["b"]["v"])) & (F.col("v") <= F.greatest(a["v"], e["b"]["v"]))
+    return F.when(within, F.when(F.abs(du) > F.abs(dv), along).otherwise(_between(one, one)))
+
+
 def fill_polygons(polygons: DataFrame, poly: str = "poly") -> DataFrame:
-    """Adds (u, v): the pixels of each polygon of ``array<struct<u, v>>`` in whole pixels.
+    """(others, u, v): the other columns and the pixels of each polygon of ``array<struct<u, v>>`` in whole pixels.
 
-    Even-odd interior by scanlines, and the pixels of the edges.
+    Even-odd interior by scanlines, and the pixels of the edges.  Polygons equal in all
+    other columns form a union.  Polygons are dealt over the tasks before they are drawn;
+    each scanline merges its own runs, so that no pixel is ever sorted or hashed.
     """
-    p = F.col(poly)
-    edges = F.transform(p, lambda a, i: F.struct(a.alias("a"), F.element_at(p, (i + 1) % F.size(p) + 1).alias("b")))
-    rows = polygons.withColumn("__e", edges)
-    low, high = (f(F.transform(p, lambda a: a["v"])) for f in (F.array_min, F.array_max))
-    lines = rows.withColumn("v", F.explode(F.sequence(low, high)))
+    spark, others = polygons.sparkSession, [c for c in polygons.columns if c != poly]
+    dealt = polygons.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *others)
+    alike = dealt.groupBy(*others).agg(F.collect_set(poly).alias("__all"))
+    corners = F.flatten(F.transform("__all", lambda p: F.transform(p, lambda a: a["v"])))
+    rows = alike.withColumn("v", F.explode(F.sequence(F.array_min(corners), F.array_max(corners))))
 
     def crossing(e: Column) -> Column:
         a, b = e["a"], e["b"]
         cut = (a["v"] <= F.col("v")) != (b["v"] <= F.col("v"))
         return F.when(cut, a["u"] + (F.col("v") - a["v"]) * (b["u"] - a["u"]) / (b["v"] - a["v"]))
 
-    lines = lines.withColumn("__x", F.array_sort(F.filter(F.transform("__e", crossing), lambda x: x.isNotNull())))
-    pairs = F.when(F.size("__x") > 1, F.transform(F.sequence(F.lit(0), F.floor(F.size("__x") / 2).cast("int") - 1), lambda k: F.struct(F.ceil(F.element_at("__x", 2 * k + 1)).cast("int").alias("a"), F.floor(F.element_at("__x", 2 * k + 2)).cast("int").alias("b"))))
-    spans = lines.withColumn("__s", F.explode(pairs)).filter("__s.a <= __s.b")
-    inner = spans.withColumn("u", F.explode(F.sequence("__s.a", "__s.b"))).drop("__e", "__x", "__s")
-    border = rows.withColumn("__e", F.explode("__e"))
-    du, dv = F.col("__e.b.u") - F.col("__e.a.u"), F.col("__e.b.v") - F.col("__e.a.v")
-    border = border.withColumn("__n", F.greatest(F.abs(du), F.abs(dv))).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n"))))
+    def drawn(p: Column) -> Column:
+        edges = F.transform(p, lambda a, i: F.struct(a.alias("a"), F.element_at(p, (i + 1) % F.size(p) + 1).alias("b")))
+        xs = F.array_sort(F.filter(F.transform(edges, crossing), lambda x: x.isNotNull()))
+        inner = F.transform(xs, lambda x, i: F.when(i % 2 == 0, _between(F.ceil(x), F.floor(F.get(xs, i + 1)))))
+        return F.concat(inner, F.transform(edges, _edge_run))
+
+    runs_ = F.array_sort(F.filter(F.flatten(F.transform("__all", drawn)), lambda s: s.isNotNull()))
+    # what is left of each run after those that begin before it
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("out"), F.lit(None).cast("int").alias("end"))
 
-    def at(start: str, d: Column) -> Column:
-        n = F.greatest(F.col("__n"), F.lit(1))
-        return (F.col(start) + F.floor((2 * F.col("__k") * d + n) / (2 * n))).cast("int")
+    def step(acc: Column, s: Column) -> Column:
+        first = F.greatest(s["a"], acc["end"] + 1)
+        some = F.when(first <= s["b"], F.array(F.struct(first.alias("a"), s["b"].alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+        return F.struct(F.concat(acc["out"], some).alias("out"), F.greatest(acc["end"], s["b"]).alias("end"))
 
-    outer = border.select(*polygons.columns, at("__e.a.u", du).alias("u"), at("__e.a.v", dv).alias("v"))
-    return inner.select(*polygons.columns, "u", "v").unionByName(outer).dropDuplicates([*[c for c in polygons.columns if c != poly], "u", "v"])
+    spans = rows.select(*others, "v", F.explode(F.aggregate(runs_, start, step)["out"]).alias("__s"))
+    return spans.select(*others, F.explode(F.sequence("__s.a", "__s.b")).alias("u"), "v")
 
 
 def last_wins(pixels: DataFrame, order: str, keys: tuple[str, ...] = ("u", "v")) -> DataFrame:

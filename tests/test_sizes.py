@@ -15,6 +15,31 @@ def plan_text(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def plain_fill(poly):
+    """The pixels of one polygon, by the definition."""
+    out, edges = set(), list(zip(poly, poly[1:] + poly[:1]))
+    for (au, av), (bu, bv) in edges:
+        n = max(abs(bu - au), abs(bv - av))
+        out |= {(au + (2 * k * (bu - au) + max(n, 1)) // (2 * max(n, 1)), av + (2 * k * (bv - av) + max(n, 1)) // (2 * max(n, 1))) for k in range(n + 1)}
+    for v in range(min(p[1] for p in poly), max(p[1] for p in poly) + 1):
+        xs = sorted(au + (v - av) * (bu - au) / (bv - av) for (au, av), (bu, bv) in edges if (av <= v) != (bv <= v))
+        for a, b in zip(xs[::2], xs[1::2]):
+            out |= {(u, v) for u in range(int(min(a, b)) - 2, int(max(a, b)) + 2) if a <= u <= b}
+    return out
+
+
+def test_polygons_fill_without_sorting_pixels(spark):
+    rng = random.Random(4)
+    polys = {k: [(rng.randrange(-30, 30), rng.randrange(-30, 30)) for _ in range(1 + k % 6)] for k in range(120)}
+    rows = [(k, p) for k, p in polys.items()] + [(0, polys[0]), (1, polys[3]), (500, []), (501, None)]
+    made = raster.fill_polygons(spark.createDataFrame(rows, f"k int, poly {POLY}"))
+    polys_of = {**{k: plain_fill(p) for k, p in polys.items()}, 1: plain_fill(polys[1]) | plain_fill(polys[3])}
+    assert sorted(tuple(r) for r in made.select("k", "u", "v").collect()) == sorted((k, u, v) for k, px in polys_of.items() for u, v in px)
+    text = plan_text(made)
+    # the only group-by is that of polygons, below the pixels
+    assert text.count("Aggregate [") == 1 and text.index("Generate explode") < text.index("Aggregate [")
+
+
 def test_boxes_meet_in_squares(spark, least, monkeypatch):
     monkeypatch.setattr(raster, "MEET", 3)
     rng = random.Random(least)
