@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import partial
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.storage import drop, save, scratch  # noqa: F401
+from rasterloom import storage
+from rasterloom.storage import drop, scratch  # noqa: F401
+
+#: Texts and their numbers are large on disk too.
+save = partial(storage.save, packed=True)
 
 ROOT = str(Path(__file__).resolve().parents[2])
 

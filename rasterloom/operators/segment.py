@@ -112,14 +112,16 @@ def detected(pixels: DataFrame, y: str, width: float, separation: float, kernel:
     room = F.col("in_room") if "in_room" in pixels.columns else F.lit(True)
     rows = pixels.select(key, "u", "v", F.when(room, F.col(y)).alias("y"), room.alias("in_room"))
     found = save(heights.peaks(rows, "y", width, separation, most=most, key=key), "peaks")
-    filled = raster.nearest_fill(heights.assign(rows, found, "y", key), "label", key).join(rows, [key, "u", "v"])
+    # pixels meet pixels by merging: files of a few MB hold millions of them, too many to broadcast
+    merged = rows.hint("merge")
+    filled = raster.nearest_fill(heights.assign(rows, found, "y", key), "label", key).join(merged, [key, "u", "v"])
     # outside the room is a label of its own to the median, after all others
     clean = save(raster.median_filter(filled.withColumn("label", F.when(F.col("in_room"), F.col("label"))), "label", kernel // 2, key), "clean")
-    comps = save(raster.components(clean.join(rows.filter("in_room").select(key, "u", "v"), [key, "u", "v"]), "label", key).join(rows, [key, "u", "v"]), "comps")
+    comps = save(raster.components(clean.join(merged.filter("in_room").select(key, "u", "v"), [key, "u", "v"]), "label", key).join(merged, [key, "u", "v"]), "comps")
     size = comps.groupBy(key, "label", "comp").agg(F.count("*").alias("area"), F.count("y").alias("seen"))
     size = size.withColumn("kept", (F.col("area") >= least_area) & (F.col("seen") / F.col("area") >= least_cover))
     told = comps.join(size.select(key, "comp", "kept"), [key, "comp"]).select(key, "u", "v", "label", F.when(F.col("kept"), F.col("comp")).alias("region"))
-    marked = save(rows.select(key, "u", "v", "in_room").join(told, [key, "u", "v"], "left"), "marked")
+    marked = save(merged.select(key, "u", "v", "in_room").join(told, [key, "u", "v"], "left"), "marked")
 
     # once over the whole grid for each plane that has both kept and lost components
     planes = marked.groupBy(key, F.col("label").alias("plane")).agg(F.count("region").alias("n"), F.count("label").alias("of")).filter("n > 0 and n < of").select(key, "plane")
@@ -127,9 +129,9 @@ def detected(pixels: DataFrame, y: str, width: float, separation: float, kernel:
     layers = marked.join(names, key).select("layer", "u", "v", F.when(F.col("label") == F.col("plane"), F.col("region")).alias("label"))
     filled = raster.nearest_fill(layers, "label", "layer")
     filled = filled.join(names, "layer").select(key, "u", "v", F.col("plane").alias("label"), F.col("label").alias("own"))
-    marked = marked.join(filled, [key, "u", "v", "label"], "left").withColumn("region", F.coalesce("region", "own")).drop("own", "label")
+    marked = marked.hint("merge").join(filled, [key, "u", "v", "label"], "left").withColumn("region", F.coalesce("region", "own")).drop("own", "label")
     whole = raster.nearest_fill(marked, "region", key).filter("label is not null")
-    whole = save(whole.join(rows.filter("in_room").select(key, "u", "v"), [key, "u", "v"]), "whole")
+    whole = save(whole.join(merged.filter("in_room").select(key, "u", "v"), [key, "u", "v"]), "whole")
 
     regions = whole.groupBy(key, "label").agg(F.count("*").alias("n")).withColumn("region", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "label")) - 1)
     regions = regions.join(size.select(key, F.col("comp").alias("label"), F.col("label").alias("plane")), [key, "label"])
@@ -142,5 +144,5 @@ def snap(masks: DataFrame, room: DataFrame, key: str = KEY) -> DataFrame:
     Later regions win, the main only where no region is; gaps go to the nearest.
     """
     won = masks.groupBy(key, "u", "v").agg(F.max("region").alias("region"))
-    inside = room.select(key, "u", "v").join(won, [key, "u", "v"], "left")
+    inside = room.select(key, "u", "v").hint("merge").join(won, [key, "u", "v"], "left")
     return raster.nearest_fill(inside, "region", key).withColumnRenamed("label", "region")

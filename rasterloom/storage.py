@@ -48,11 +48,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, folder)
 
 
-def save(df: DataFrame, label: str, spent: Iterable[DataFrame] = (), keep: bool = False) -> DataFrame:
+def save(df: DataFrame, label: str, spent: Iterable[DataFrame] = (), keep: bool = False, packed: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` into the shared folder and read it back.
 
     The write's shuffle files go as soon as it ends, and so do ``spent``: tables from
     here that nothing reads any more.  ``keep``: the innermost ``scratch`` leaves it.
+
+    Spark takes a table's bytes on disk for its size in memory.  Pixels shrink to a
+    fraction when ``packed`` (by dictionary and zstd), so that millions of them look small
+    enough to broadcast; written plainly they take on disk about what they are.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -62,7 +66,8 @@ def save(df: DataFrame, label: str, spent: Iterable[DataFrame] = (), keep: bool
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        how = {"compression": "zstd"} if packed else {"compression": "none", "parquet.enable.dictionary": "false"}
+        df.write.options(**how).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     drop(*spent)

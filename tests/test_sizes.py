@@ -40,6 +40,7 @@ def test_polygons_fill_without_sorting_pixels(spark):
     assert text.count("Aggregate [") == 1 and text.index("Generate explode") < text.index("Aggregate [")
 
 
+@pytest.mark.parametrize("least", [8, 1, 0, -3])
 def test_boxes_meet_in_squares(spark, least, monkeypatch):
     monkeypatch.setattr(raster, "MEET", 3)
     rng = random.Random(least)
@@ -73,3 +74,21 @@ def test_shared_edges_go_once(spark):
     assert plan_text(distance.nearest_polygon(points, shapes)).count("min(region") >= 1
 
 
+def test_saved_pixels_look_as_large_as_they_are(spark):
+    """A table of 600,000 pixels is no candidate for a broadcast."""
+    px = spark.range(600_000).select((F.col("id") / 10000).cast("long").alias("session_id"), (F.col("id") % 100).cast("int").alias("u"), (F.col("id") / 100 % 100).cast("int").alias("v"), F.lit(1).alias("label"))
+    size = storage.save(px, "px")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) > 10_000_000
+
+
+def test_pixels_are_never_broadcast_to_pixels(spark, monkeypatch):
+    """Even where the input's file looks small."""
+    from rasterloom.operators import segment
+
+    plans, kept = [], segment.save
+    monkeypatch.setattr(segment, "save", lambda df, *a, **k: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or kept(df, *a, **k))
+    px = spark.range(400).select(F.lit(0).cast("long").alias("session_id"), (F.col("id") % 20).cast("int").alias("u"), F.expr("cast(id div 20 as int)").alias("v"), F.expr("2400 + 100 * cast(id % 20 div 10 as int)").alias("y"))
+    made = segment.auto_detect(px, "y", 5, 20, 3, 10)
+    assert made.count() == 400 and {r.region for r in made.collect()} == {0, 1}
+    plans.append(made._jdf.queryExecution().sparkPlan().toString())
+    assert not [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and " u#" in line.split("BroadcastHashJoin")[1].split("],")[0]]
