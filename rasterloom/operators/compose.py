@@ -87,7 +87,7 @@ def detect(
     label = F.when(F.col("main"), F.lit("Main Ceiling (1)")).otherwise(F.concat(F.lit("Ceiling Region ("), (F.col("id") + 2).cast("string"), F.lit(")")))
     named = save(named.select(key, F.col("region").alias("old"), F.when(F.col("main"), F.lit(0)).otherwise(F.col("id") + 1).alias("region"), "id", label.alias("label"), F.lit("").alias("notes"), "polygon", "plane_y"), "named")
 
-    seen = marked.withColumnRenamed("region", "old").join(named.select(key, "old", "region", "plane_y"), [key, "old"]).join(room, [key, "u", "v"])
+    seen = marked.withColumnRenamed("region", "old").join(named.select(key, "old", "region", "plane_y"), [key, "old"]).join(room.hint("merge"), [key, "u", "v"])
     measured = heights.band_stats(seen, [key, "region"], "y", F.col("plane_y"), band_m, 9)
     some = counts.join(named.select(key).distinct().withColumn("some", F.lit(True)), key, "left")
     problems = _problems(some, [(F.col("room") == 0, NO_ROOM), (F.col("seen") < least_seen, UNSEEN), (F.col("some").isNull(), NONE_LEFT)], key)
@@ -114,7 +114,7 @@ def snap(plan: DataFrame, pixels: DataFrame, grid: DataFrame, ppm: float, key: s
     heights_ = save(pixels.select(key, "u", "v", "y", "in_room"), "heights")
     # polygons reach into the room from outside too
     claimed = segment.snap(masks(drawn, grid, ppm, key), heights_, key).filter("region is not null")
-    claimed = claimed.join(heights_.filter("in_room").select(key, "u", "v"), [key, "u", "v"]).withColumn("mask", F.to_json(F.struct(key, "region")))
+    claimed = claimed.join(heights_.filter("in_room").select(key, "u", "v").hint("merge"), [key, "u", "v"]).withColumn("mask", F.to_json(F.struct(key, "region")))
     claimed = save(claimed, "claimed")
     closed = raster.close(claimed.select("mask", "u", "v"), raster.disc(odd(CLOSE, ppm) // 2), "mask", times=2)
     shapes = outline.largest(outline.rings(closed, ["mask"]), ["mask"], max(1.0, SNAPPED * ppm))
@@ -128,6 +128,6 @@ def snap(plan: DataFrame, pixels: DataFrame, grid: DataFrame, ppm: float, key: s
     told = counts.join(had, key, "left").join(mains, key, "left")
     problems = _problems(told, [(F.col("room") == 0, NO_ROOM), (F.coalesce("mains", F.lit(0)) == 0, NO_MAIN), (F.col("left").isNull(), MAIN_LOST)], key)
     good = save(snapped.join(mains.select(key), key, "left_semi"), "good")
-    seen = masks(good, grid, ppm, key).join(heights_.drop("in_room"), [key, "u", "v"])
+    seen = masks(good, grid, ppm, key).join(heights_.drop("in_room").hint("merge"), [key, "u", "v"])
     measured = heights.stats(seen, [key, "region"], "y", 9)
     return _with_problems(_rows(drawn.drop("polygon").join(good, [key, "region"]), measured, key), problems, key)
