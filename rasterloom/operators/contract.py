@@ -16,6 +16,8 @@ borders, is the seam graph of the scan, to which the same rule applies in one gr
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,6 +53,12 @@ class Graph:
         self.root = np.arange(len(size))
         self.outside = np.zeros(len(size), bool) if outside is None else outside
 
+    def fresh(self) -> Graph:
+        """The same graph of pixels, to be contracted anew: sorted edges are shared, they never change."""
+        other = copy.copy(self)
+        other.size, other.inner = self.size.copy(), self.inner.copy()
+        return other
+
     def _first(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Each component's cheapest of the given edges."""
         first = np.full(len(self.size), len(a))
@@ -161,16 +169,26 @@ def edges(image: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def whole(image: np.ndarray, scale: float, sigma: float, least: int) -> np.ndarray:
-    """Labels of one raster in one piece."""
+def graph(image: np.ndarray, sigma: float) -> Graph:
+    """The pixels of one raster in one piece, none joined yet."""
     image = kernels.smooth(image.astype(float), sigma)
     image = image[..., None] if image.ndim == 2 else image
     n = image.shape[0] * image.shape[1]
     a, b, cost = edges(image, np.arange(n).reshape(image.shape[:2]))
-    graph = Graph(a, b, cost, mark(a, b), np.ones(n, np.int64), np.zeros(n))
-    graph.contract(scale / 255.0)
-    graph.absorb(least)
-    return graph.root.reshape(image.shape[:2])
+    return Graph(a, b, cost, mark(a, b), np.ones(n, np.int64), np.zeros(n))
+
+
+def segments(pixels: Graph, shape: tuple[int, int], scale: float, least: int) -> np.ndarray:
+    """Labels of a raster's graph, which itself stays as it is."""
+    joined = pixels.fresh()
+    joined.contract(scale / 255.0)
+    joined.absorb(least)
+    return joined.root.reshape(shape)
+
+
+def whole(image: np.ndarray, scale: float, sigma: float, least: int) -> np.ndarray:
+    """Labels of one raster in one piece."""
+    return segments(graph(image, sigma), image.shape[:2], scale, least)
 
 
 def _tile(pdf: pd.DataFrame, key: str, channels: list[str], tolerance: float, sigma: float, wide: int) -> pd.DataFrame:

@@ -61,10 +61,24 @@ def score(df: DataFrame, pred: str = "pred", truth: str = "truth", key: str = KE
     A truth label without a match counts 0 in mean and least and not in the weighted
     one.  The matrix of a scan is tiny (labels by labels), so one group holds it.
     """
-    matrix = iou(confusion(df, pred, truth, key), key)
-    kind = df.schema[key].dataType.simpleString()
+    return score_matrix(confusion(df, pred, truth, key), key)
+
+
+def score_matrix(counts: DataFrame, key: str = KEY, group: str | None = None) -> DataFrame:
+    """``score`` from a confusion (key, pred, truth, n).
+
+    Rows of one ``group``, a column that ``key`` decides, are solved together: matrices are so
+    small that a group of its own costs more than the match.
+    """
+    group = group or key
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matrix = iou(counts, key).repartition(tasks, group)  # few bytes and much work, which coalescing goes by
+    kind = counts.schema[key].dataType.simpleString()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([one(part) for _, part in pdf.groupby(key, sort=False, dropna=False)])
+
+    def one(pdf: pd.DataFrame) -> dict:
         preds, truths = np.unique(pdf["pred"]), np.unique(pdf["truth"])
         gain = np.zeros((len(preds), len(truths)))
         at = np.searchsorted(preds, pdf["pred"]), np.searchsorted(truths, pdf["truth"])
@@ -77,10 +91,9 @@ def score(df: DataFrame, pred: str = "pred", truth: str = "truth", key: str = KE
             got[j] = gain[i, j]
         hit = [j for _, j in pairs]
         weighted = float((got[hit] * area[hit]).sum() / area[hit].sum()) if hit else 0.0
-        row = {key: pdf[key].iloc[0], "mean_iou": got.mean(), "min_iou": got.min(), "weighted_iou": weighted, "n_pred": len(preds), "n_truth": len(truths), "n_matched": len(pairs)}
-        return pd.DataFrame([row])
+        return {key: pdf[key].iloc[0], "mean_iou": got.mean(), "min_iou": got.min(), "weighted_iou": weighted, "n_pred": len(preds), "n_truth": len(truths), "n_matched": len(pairs)}
 
-    return matrix.groupBy(key).applyInPandas(solve, f"{key} {kind}, mean_iou double, min_iou double, weighted_iou double, n_pred long, n_truth long, n_matched long")
+    return matrix.groupBy(group).applyInPandas(solve, f"{key} {kind}, mean_iou double, min_iou double, weighted_iou double, n_pred long, n_truth long, n_matched long")
 
 
 def leaderboard(scores: DataFrame, by: str, position: str, top: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -41,22 +43,54 @@ def segment(pixels: DataFrame, algorithm: str, ppm: float, key: str = KEY, **kwa
     return pixels.groupBy(key).applyInPandas(solve, f"{key} {kind}, u int, v int, label int")
 
 
+def _dealt(pixels: DataFrame, key: str) -> DataFrame:
+    """Scans over as many tasks as a shuffle has: they are few bytes and much work, which coalescing goes by."""
+    return pixels.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def _known(experiments: list[tuple[str, str, dict]]) -> list[tuple[str, str, dict]]:
+    last = {name: (name, algorithm, kwargs) for name, algorithm, kwargs in experiments if algorithm in kernels.SEG}
+    return list(last.values())
+
+
 def sweep(pixels: DataFrame, experiments: list[tuple[str, str, dict]], ppm: float, key: str = KEY) -> DataFrame:
     """(key, name, u, v, label) for every scan and (name, algorithm, arguments), unknown ones left out.
 
-    Scans and configurations are the groups: this is what spreads over a cluster.
+    Scans are the groups: this is what spreads over a cluster.  A scan is moved once, its
+    configurations run one after the other and share what they have in common.
     """
-    known = {name: (algorithm, kwargs) for name, algorithm, kwargs in experiments if algorithm in kernels.SEG}
+    known = _known(experiments)
     kind = pixels.schema[key].dataType.simpleString()
-    rows = pixels.withColumn("name", F.explode(F.array(*map(F.lit, known))))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(parts, ignore_index=True)
         scan, u, v = _scan(pdf, ppm)
-        algorithm, kwargs = known[pdf["name"].iloc[0]]
-        labels = kernels.SEG[algorithm](scan, **kwargs)
-        return pd.DataFrame({key: pdf[key], "name": pdf["name"], "u": pdf["u"], "v": pdf["v"], "label": labels[v, u]})
+        for name, algorithm, kwargs in known:
+            labels = kernels.SEG[algorithm](scan, **kwargs)
+            yield pd.DataFrame({key: pdf[key], "name": name, "u": pdf["u"], "v": pdf["v"], "label": labels[v, u]})
 
-    return rows.groupBy(key, "name").applyInPandas(solve, f"{key} {kind}, name string, u int, v int, label int")
+    return _dealt(pixels, key).groupBy(key).applyInPandas(solve, f"{key} {kind}, name string, u int, v int, label int")
+
+
+def sweep_confusion(pixels: DataFrame, experiments: list[tuple[str, str, dict]], ppm: float, truth: str, key: str = KEY) -> DataFrame:
+    """(key, name, pred, truth, n): the confusion of each of ``sweep``'s runs with the pixels' own column ``truth``.
+
+    Counted where the labels are made, so that none of them moves.
+    """
+    known = _known(experiments)
+    kind = pixels.schema[key].dataType.simpleString()
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(parts, ignore_index=True)
+        scan, u, v = _scan(pdf, ppm)
+        true = pdf[truth].fillna(-1).to_numpy(np.int64)
+        for name, algorithm, kwargs in known:
+            pred = kernels.SEG[algorithm](scan, **kwargs)[v, u].astype(np.int64)
+            both = (pred >= 0) & (true >= 0)
+            pair, n = np.unique(pred[both] << 32 | true[both], return_counts=True)
+            yield pd.DataFrame({key: pdf[key].iloc[0], "name": name, "pred": pair >> 32, "truth": pair & 0xFFFFFFFF, "n": n})
+
+    return _dealt(pixels, key).groupBy(key).applyInPandas(solve, f"{key} {kind}, name string, pred int, truth int, n long")
 
 
 def named(experiments: list[tuple[str, str, dict]], part: str) -> list[tuple[str, str, dict]]:

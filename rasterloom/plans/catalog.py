@@ -936,8 +936,8 @@ EXPERIMENTS: list[tuple[str, str, dict]] = [
 def experiment_sweep(spark, sf_dir):
     """Scores of the reference's configurations on every scan, best first; one that labels nothing scores 0."""
     rows = scans(spark, sf_dir)
-    made = segment.sweep(rows, EXPERIMENTS, 20.0).join(rows.select("session_id", "u", "v", F.col("plane").alias("truth")), ["session_id", "u", "v"])
-    scored = scoring.score(made.withColumn("run", F.concat_ws("|", "session_id", "name")), "label", "truth", "run")
+    counts = segment.sweep_confusion(rows, EXPERIMENTS, 20.0, "plane")
+    scored = scoring.score_matrix(counts.withColumn("run", F.concat_ws("|", "session_id", "name")), "run", "session_id")
     runs = spark.createDataFrame([(k, name, algorithm) for k, (name, algorithm, _) in enumerate(EXPERIMENTS)], "position int, name string, algorithm string")
     every = rows.select("session_id").distinct().crossJoin(F.broadcast(runs)).withColumn("run", F.concat_ws("|", "session_id", "name"))
     whole = every.join(scored, "run", "left").fillna(0)

@@ -92,3 +92,55 @@ def test_pixels_are_never_broadcast_to_pixels(spark, monkeypatch):
     assert made.count() == 400 and {r.region for r in made.collect()} == {0, 1}
     plans.append(made._jdf.queryExecution().sparkPlan().toString())
     assert not [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and " u#" in line.split("BroadcastHashJoin")[1].split("],")[0]]
+
+
+def test_sweep_moves_a_scan_once(spark, small):
+    """Not once for each configuration, and no labels afterwards."""
+    from rasterloom.operators import segment
+    from rasterloom.plans import catalog
+
+    text = plan_text(catalog.QUERIES["experiment_sweep"](spark, small))
+    below = text[text.index("FlatMapGroupsInPandas", text.index("FlatMapGroupsInPandas") + 1) :]
+    assert "Generate" not in below and "Join" not in below
+    rows = catalog.scans(spark, small).filter("u < 30 and v < 30")
+    runs = [e for e in catalog.EXPERIMENTS if e[0] in ("felzenszwalb_s200", "felz_merged_s200_3cm", "watershed_default", "slic_merge_n500_2cm")] + [("none", "unknown", {})]
+    pick = lambda df: sorted((r.session_id, r.u, r.v, r.label) for r in df.collect())
+    made = segment.sweep(rows, runs, 20.0)
+    assert {r.name for r in made.select("name").distinct().collect()} == {name for name, _, _ in runs[:-1]}
+    for name, algorithm, kwargs in runs[:-1]:
+        assert pick(made.filter(F.col("name") == name)) == pick(segment.segment(rows, algorithm, 20.0, **kwargs))
+    counts = segment.sweep_confusion(rows, runs, 20.0, "plane")
+    held = made.join(rows, ["session_id", "u", "v"]).filter("label >= 0").groupBy("session_id", "name", F.col("label").alias("pred"), F.col("plane").alias("truth")).agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, held.collect()))
+
+
+def test_centres_far_away_are_not_compared():
+    import numpy as np
+
+    from rasterloom.operators import kernels
+
+    rng = np.random.default_rng(6)
+    v, u = np.mgrid[:90, :90].reshape(2, -1)
+    for colours in (rng.integers(0, 256, (8100, 3)), np.repeat(u[:, None] // 30 * 60, 3, 1)):
+        points = np.concatenate([colours, v[:, None] * 2.5, u[:, None] * 2.5], axis=1).astype(float)
+        centres = points[rng.integers(0, 8100, 400)]  # some twice: the first of them wins
+        want = np.concatenate([((part[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1) for part in np.array_split(points, 8)])
+        groups = kernels.boxes(points)
+        assert sorted(np.concatenate([mine for mine, _, _ in groups]).tolist()) == list(range(8100))
+        assert (kernels.nearest_centres(points, groups, centres) == want).all()
+
+
+def test_a_scan_sorts_the_edges_of_an_image_once(monkeypatch):
+    import numpy as np
+
+    from rasterloom.operators import contract, kernels
+
+    made, edges = [], contract.edges
+    monkeypatch.setattr(contract, "edges", lambda *a: made.append(1) or edges(*a))
+    y = np.random.default_rng(3).normal(2.4, 0.05, (30, 40))
+    fresh = lambda: kernels.Scan(y, np.ones(y.shape, bool), np.zeros(y.shape, bool), np.zeros((*y.shape, 3)), 20.0)
+    scan = fresh()
+    got = [kernels.felzenszwalb(scan, scale) for scale in (100, 400, 100)] + [kernels.felzenszwalb_merged(scan, 400)]
+    assert len(made) == 1
+    want = [kernels.felzenszwalb(fresh(), scale) for scale in (100, 400, 100)] + [kernels.felzenszwalb_merged(fresh(), 400)]
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
