@@ -1,6 +1,7 @@
 """Work that must not grow faster than its input."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,43 @@ def test_a_scan_sorts_the_edges_of_an_image_once(monkeypatch):
     assert len(made) == 1
     want = [kernels.felzenszwalb(fresh(), scale) for scale in (100, 400, 100)] + [kernels.felzenszwalb_merged(fresh(), 400)]
     assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
+def test_composites_sort_a_bounded_number_of_pixels(spark, monkeypatch):
+    """Pixels and moves go neither through a join's shuffle nor through a sorting aggregate; fields go to tasks by their size."""
+    from rasterloom.operators import periodic
+
+    monkeypatch.setattr(periodic, "ROWS", 2000, raising=False)
+    plans, fields, kept, solve = [], [], periodic.save, periodic.correlogram
+    monkeypatch.setattr(periodic, "save", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, *a, **k))
+    monkeypatch.setattr(periodic, "correlogram", lambda field, *a, **k: fields.append(field) or solve(field, *a, **k))
+    px = spark.range(24_000).selectExpr("id div 600 session_id", "0 a", "1 b", "cast(id % 60 as int) u", "cast(id div 60 % 10 as int) v", "id % 10 < 5 in_b", "0.1D delta_y")
+    made = periodic.composites(px.withColumn("in_a", ~F.col("in_b")), 75.0)
+    assert sorted((r.session_id, r.turns, r.kind) for r in made.collect()) == [(k, 11, "linear") for k in range(40)]
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    shuffled = [line for p in plans for line in p.splitlines() if "Exchange hashpartitioning(" in line]
+    assert shuffled and not [line for line in shuffled if re.search(r"\bd?[uv]#", line)]
+    assert not any("SortAggregate" in p for p in plans)
+    (field,) = fields
+    assert max(r["count"] for r in field.groupBy(F.spark_partition_id()).count().collect()) <= 3 * 2000
+
+
+def test_slanted_peaks_find_their_line(spark):
+    """Pixels and moves found by product and rounding are those of the line drawn step by step."""
+    import numpy as np
+
+    from rasterloom.operators import periodic
+
+    v, u = np.mgrid[:40, :50]
+    for k, upper in enumerate([(u + v) // 4 % 2 == 1, (2 * u + v) // 9 % 2 == 1, (u - 3 * v) // 12 % 2 == 1, (u % 7 < 3) | (v % 7 < 3)]):
+        rows = [(k, 0, 1, int(a), int(b), not upper[b, a], bool(upper[b, a]), 0.0) for b, a in np.ndindex(upper.shape)]
+        (row,) = periodic.composites(spark.createDataFrame(rows, "session_id long, a int, b int, u int, v int, in_a boolean, in_b boolean, delta_y double"), 25.0, least_turns=0).collect()
+        c = periodic.kernels.autocorrelation(upper * 2.0 - 1).round(9)
+        at = {(dv, du): c[40 + dv, 50 + du] for dv in range(-16, 17) for du in range(-16, 17) if dv * dv + du * du <= 256}
+        dv, du = min((m for m in at if 9 <= m[0] ** 2 + m[1] ** 2 <= 225), key=lambda m: (-at[m], m))
+        length = np.hypot(dv, du)
+        line = [(20 + round(t * dv / length), 25 + round(t * du / length)) for t in range(-64, 65)]
+        seen = [upper[p] for p in line if 0 <= p[0] < 40 and 0 <= p[1] < 50]
+        across = [at[m] for r in range(3, 16) if (m := (round(r * du / length), round(-r * dv / length))) in at]
+        assert abs(row.pitch_m * 25 - length) < 1e-9 and row.turns == sum(x != y for x, y in zip(seen, seen[1:]))
+        assert abs(row.across - max(0, *across)) < 1e-8
